@@ -63,15 +63,15 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of Arrow batches of (doc_id, text, ...) in slices of at most BATCH_CHARS bytes of text, one row at least."""
+def text_chunks(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of at most BATCH_CHARS bytes of text, one row at least."""
     import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             before = int(ends[start - 1]) if start else 0
