@@ -92,6 +92,17 @@ def map_texts(docs: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch
     return docs.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, kernel: Callable[[pa.RecordBatch], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, for which ``kernel`` says so of a slice; a null text is passed on as null. Nothing is shuffled."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches, text_col):
+            yield chunk.filter(pa.array(kernel(chunk), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc32_of_id(col: str = "doc_id") -> Column:
     """crc32 of the id's decimal text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import map_texts, texts_of
+from voxelweave.llm.common import filter_texts, map_texts, texts_of
 
 #: (indices, values) of a text, indices distinct.
 Features = tuple[np.ndarray, np.ndarray]
@@ -142,3 +142,9 @@ def scored(docs: DataFrame, model: Linear, features: Callable[[str], Features],
         return {"doc_id": chunk.column("doc_id"), "score": pa.array([own.score(features(t)) for t in chunk.column("text").to_pylist()], pa.float64())}
 
     return map_texts(src, kernel, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def kept(docs: DataFrame, model: Linear, features: Callable[[str], Features], threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns; null texts count as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(docs, lambda chunk: [shared.value.score(features(t or "")) >= threshold for t in chunk.column(text_col).to_pylist()], text_col)

@@ -111,3 +111,11 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "qua
     """
     sample = linear.labelled_sample(docs, labels, label, learn, features, None, id_col, text_col, max_rows)
     return linear.scored(docs, fit(sample), features, id_col, text_col)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = linear.MAX_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; fitted as in ``quality``. Without usable labels nothing is rejected."""
+    sample = linear.labelled_sample(docs, labels, label, learn, features, None, id_col, text_col, max_rows)
+    if not len(sample.labels):
+        return docs
+    return linear.kept(docs, fit(sample), features, threshold, text_col)

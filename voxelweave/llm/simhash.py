@@ -249,7 +249,7 @@ def linked_components(fps: DataFrame, budget: int = 4, bucket_rows: int = 8192)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, bucket_rows: int = 8192) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, fp, component_id, root) for every row of ``docs``; root is one fingerprint of the row's component.
 
     component_id is the smallest id of the row's component, itself included. Null texts count as empty, and
     texts without words all have fingerprint zero and are one component. Repeated rows and copies share a fingerprint,
@@ -260,11 +260,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     groups, _ = written(groups, "groups")
     comps = linked_components(groups.select("fp"), budget, bucket_rows)
-    rooted = groups.join(comps, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = rooted.join(comps.select("fp"), "fp", "left_semi")
+    linked = groups.join(comps, "fp")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    # only fingerprints of more than one row need a lookup
-    several = linked.join(least, "root").select("fp", "component_id").unionByName(
-        groups.filter("n > 1").join(comps.select("fp"), "fp", "left_anti").select("fp", F.col("least_id").alias("component_id")))
-    several = several.withColumn("found", F.lit(True))
-    return prints.join(several, "fp", "left").select("doc_id", "fp", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # only fingerprints of more than one row or with links need a lookup
+    several = linked.join(least, "root").select("fp", "component_id", "root").unionByName(
+        groups.filter("n > 1").join(comps.select("fp"), "fp", "left_anti").select("fp", F.col("least_id").alias("component_id"), F.col("fp").alias("root")))
+    own = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return prints.join(several, "fp", "left").select("doc_id", "fp", own.alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, bucket_rows: int = 8192) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all its columns: the one of the smallest id.
+
+    Where that id is on several rows of the component, or all ids of a component are null, the least row by
+    fingerprint and text stays. Rows with an id of their own are chosen by id alone; only rows whose id is null or repeated are looked at once more.
+    """
+    spark = docs.sparkSession
+    found, _ = written(near_duplicates(docs, id_col, text_col, shingle, budget, bucket_rows), "components")
+    gone = found.filter("doc_id <> component_id").select("doc_id")
+    repeated, _ = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
+    key = F.col(id_col)
+    single = docs.join(gone.select(F.col("doc_id").alias("gone_id")), key == F.col("gone_id"), "left_anti")
+    if not repeated.limit(1).count():
+        return single
+    again = repeated.withColumnRenamed("doc_id", "again_id")
+    single = single.join(again, key.eqNullSafe(F.col("again_id")), "left_anti")
+    # rows of repeated ids: their fingerprints once more, beside the whole row
+    rows = docs.join(again, key.eqNullSafe(F.col("again_id")), "left_semi").select(F.struct(*docs.columns).alias("doc_id"), F.col(text_col).alias("text"), key.alias("own_id"))
+    prints = fingerprints(rows, "doc_id", "text", shingle).select(F.col("doc_id").alias("whole"), F.col("fp").alias("own_fp"))
+    comps = found.select("fp", "root", "component_id").distinct()
+    own_id = F.col("whole")[id_col]
+    lead = prints.join(comps, F.col("own_fp") == F.col("fp")).filter(own_id.eqNullSafe(F.col("component_id")))
+    first = lead.groupBy("root").agg(F.min_by("whole", F.struct("own_fp", F.coalesce(F.col("whole")[text_col], F.lit("")))).alias("whole"))
+    return single.unionByName(first.select("whole.*").select(*docs.columns))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import map_texts, texts_of
+from voxelweave.llm.common import filter_texts, map_texts, texts_of
 
 #: Byte by byte: letters lower-cased, digits and bytes of other characters kept, all else a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -199,11 +199,11 @@ def contamination(
                 spans.append(as_spans(at))
                 items.append(sorted(who))
                 if keyed:
-                    key.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    key.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
             out = {"doc_id": chunk.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
-            return out | ({"key": pa.array(key, pa.binary())} if keyed else {})
+            return out | ({"key": pa.array(key, pa.string())} if keyed else {})
 
-        return map_texts(src, kernel, schema + ", key binary" * keyed)
+        return map_texts(src, kernel, schema + ", key string" * keyed)
 
     blocks = _blocks(bench, item_col, item_text_col, span, block_words)
     first, second = next(blocks, None), next(blocks, None)
@@ -239,3 +239,33 @@ def _merged(both: DataFrame, schema: str) -> DataFrame:
     once = both.groupBy("doc_id", "key", "block").agg(*(F.first(x).alias(x) for x in ("n_words", "spans", "items")), F.count("*").alias("copies"))
     merged = once.groupBy("doc_id", "key").applyInArrow(union, schema + ", copies long")
     return merged.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+
+
+def is_contaminated(n_words: int, n_hit: int, share: int) -> bool:
+    return n_hit > 0 and share * n_hit >= n_words
+
+
+def decontaminated(
+    docs: DataFrame, bench: DataFrame, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    span: int = 13, block_words: int = 1_000_000,
+) -> DataFrame:
+    """The rows of ``docs`` of which fewer than one in ``share`` words is hit, with all their columns; hits as in ``contamination``.
+
+    With one block of the benchmark the rows are filtered as they are scanned; with several, rows are dropped by id and text after the
+    hits of all blocks are merged. Rows without words stay.
+    """
+    blocks = _blocks(bench, item_col, item_text_col, span, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+
+        def clean(chunk: pa.RecordBatch) -> list[bool]:
+            found = [(words, search(words, shared.value)[0]) if words else ((), ()) for words in map(words_of, chunk.column(text_col).to_pylist())]
+            return [not is_contaminated(len(words), len(hit), share) for words, hit in found]
+
+        return filter_texts(docs, clean, text_col)
+    found = contamination(docs.select(F.struct(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text")), bench, "doc_id", "text", item_col, item_text_col, span, block_words)
+    bad = found.filter((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select(F.col(f"doc_id.{id_col}").alias("bad_id"), F.col(f"doc_id.{text_col}").alias("bad_text")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]) & (docs[text_col] == bad["bad_text"]), "left_anti")
