@@ -21,6 +21,8 @@ BETA, MIN_P = 2e-5, 0.01
 RADIAL_BINS = 24
 SIDE = 48
 SPOT_SHOTS = 2000
+#: Of intensities: prices are whole cents, and means of them would end on the half of a rounded digit.
+UNIT = 50 ** 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,12 +89,12 @@ def _hkl(order: DataFrame) -> DataFrame:
 
 
 def hkl(spark: SparkSession, sf: str) -> DataFrame:
-    return _hkl(table(spark, sf, "orders")).groupBy("h", "k", "l").agg((F.avg("o_totalprice") / 7).alias("i"))
+    return _hkl(table(spark, sf, "orders")).groupBy("h", "k", "l").agg((F.avg("o_totalprice") / UNIT).alias("i"))
 
 
 def hkl_ref(spark: SparkSession, sf: str) -> DataFrame:
     both = table(spark, sf, "lineitem").join(_hkl(table(spark, sf, "orders")), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.groupBy("h", "k", "l").agg((F.avg("l_extendedprice") / 7).alias("i"))
+    return both.groupBy("h", "k", "l").agg((F.avg("l_extendedprice") / UNIT).alias("i"))
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +121,7 @@ def refl(spark: SparkSession, sf: str) -> DataFrame:
 def image(spark: SparkSession, sf: str) -> DataFrame:
     n = SIDE * SIDE
     return table(spark, sf, "events").select(
-        F.expr(f"cast(event_id div {n} AS int)").alias("shot"), (F.col("event_id") % n % SIDE).cast("int").alias("x"), F.expr(f"cast(event_id % {n} div {SIDE} AS int)").alias("y"), (F.col("value") / 7).alias("v"))
+        F.expr(f"cast(event_id div {n} AS int)").alias("shot"), (F.col("event_id") % n % SIDE).cast("int").alias("x"), F.expr(f"cast(event_id % {n} div {SIDE} AS int)").alias("y"), (F.col("value") / UNIT).alias("v"))
 
 
 @lru_cache(1)

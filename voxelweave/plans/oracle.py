@@ -106,8 +106,8 @@ VIEWS = {
     "logr": "SELECT shot, r, count(*) AS n_px, sum(k * ln(m + 1e-6) - m) AS logr FROM terms GROUP BY shot, r",
     "soft": f"SELECT shot, r, logr, e / sum(e) OVER (PARTITION BY shot) AS p0 FROM (SELECT *, exp({f.BETA!r} * (logr - max(logr) OVER (PARTITION BY shot))) AS e FROM logr)",
     "pdr": f"SELECT shot, r, logr, q * sum(p0) OVER (PARTITION BY shot) / sum(q) OVER (PARTITION BY shot) AS p FROM (SELECT *, CASE WHEN p0 < {f.MIN_P!r} THEN 0 ELSE p0 END AS q FROM soft)",
-    "hkls": f"SELECT h, k, l, avg(o_totalprice) / 7 AS i FROM (SELECT {_HKL}, o_totalprice FROM orders) GROUP BY h, k, l",
-    "hkl_ref": f"SELECT h, k, l, avg(l_extendedprice) / 7 AS i FROM (SELECT {_HKL}, l_extendedprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY h, k, l",
+    "hkls": f"SELECT h, k, l, avg(o_totalprice) / CAST({f.UNIT!r} AS DOUBLE) AS i FROM (SELECT {_HKL}, o_totalprice FROM orders) GROUP BY h, k, l",
+    "hkl_ref": f"SELECT h, k, l, avg(l_extendedprice) / CAST({f.UNIT!r} AS DOUBLE) AS i FROM (SELECT {_HKL}, l_extendedprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY h, k, l",
     "pairs": "SELECT a.h, a.k, a.l, a.i AS i1, b.i AS i2, 1 / sqrt(" + " + ".join(f"(a.{n} * {float(x)!r}) * (a.{n} * {float(x)!r})" for n, x in zip("hkl", np.diag(f.CELL.from_hkl()))) + ") AS d FROM hkls a JOIN hkl_ref b ON a.h = b.h AND a.k = b.k AND a.l = b.l WHERE NOT (a.h = 0 AND a.k = 0 AND a.l = 0)",
     "hklq": "SELECT h, k, l, " + ", ".join(f"{e} AS {q}" for e, q in zip(matvec([repr(float(x)) for x in _FROM_HKL.ravel()], ["h", "k", "l"]), ("qx", "qy", "qz")))
             + " FROM " + ", ".join(f"(SELECT CAST(v AS INTEGER) AS {n} FROM range({1 - m}, {m}) t(v))" for n, m in zip("hkl", _limits())),
@@ -116,7 +116,7 @@ VIEWS = {
         CAST(o_custkey * 11 % 40 AS INTEGER) AS y1, CAST(o_custkey * 11 % 40 + 1 + o_custkey % 4 AS INTEGER) AS y2, CAST(o_orderkey * 37 % 1000 AS DOUBLE) / 1000 * CAST(0.4 AS DOUBLE) - CAST(0.2 AS DOUBLE) AS qx,
         CAST(o_custkey * 53 % 1000 AS DOUBLE) / 1000 * CAST(0.4 AS DOUBLE) - CAST(0.2 AS DOUBLE) AS qy, CAST(o_orderkey * 71 % 997 AS DOUBLE) / 1000 * CAST(0.4 AS DOUBLE) - CAST(0.2 AS DOUBLE) AS qz, {_HKL}, o_totalprice AS i,
         o_totalprice * (1 + o_orderkey % 3) * 1000 AS var, o_orderstatus <> 'P' AS indexed, CAST(o_orderkey % 13 AS DOUBLE) / 10 - CAST(0.6 AS DOUBLE) AS dx, CAST(o_custkey % 17 AS DOUBLE) / 10 - CAST(0.8 AS DOUBLE) AS dy FROM orders""",
-    "image": f"SELECT CAST(event_id // {f.SIDE ** 2} AS INTEGER) AS shot, CAST(event_id % {f.SIDE ** 2} % {f.SIDE} AS INTEGER) AS x, CAST(event_id % {f.SIDE ** 2} // {f.SIDE} AS INTEGER) AS y, value / 7 AS v FROM events",
+    "image": f"SELECT CAST(event_id // {f.SIDE ** 2} AS INTEGER) AS shot, CAST(event_id % {f.SIDE ** 2} % {f.SIDE} AS INTEGER) AS x, CAST(event_id % {f.SIDE ** 2} // {f.SIDE} AS INTEGER) AS y, value / CAST({f.UNIT!r} AS DOUBLE) AS v FROM events",
     "det": _PLACE,
     "detq": f"SELECT x, y, {_Q} FROM det",
     "detf": f"SELECT x, y, {_FACTORS} FROM det",
