@@ -80,7 +80,7 @@ def test_edit_trial_against_a_plain_version(spark, parts):
         after = order[(k + 1) % len(order)][2]
         half = len(text) // 2
         new = text[:len(text) - half] + after[:half]
-        want.append((d, len(text), new, *(s.shown(s.sketch(t)) for t in (text, new, after))))
+        want.append((d, len(text), new, *(x := [s.shown(s.sketch(t)) for t in (text, new, after)]), s.likeness(x[0], x[1]), s.likeness(x[0], x[2])))
     assert sorted(got, key=str) == sorted(want, key=str)
 
 

@@ -75,6 +75,15 @@ def shown(least: np.ndarray) -> str:
     return "".join(EMPTY if x == _NONE else f"{d:03x}" for x, d in zip(least.tolist(), digits.tolist()))
 
 
+def likeness_of_sketches(a: np.ndarray, b: np.ndarray) -> float:
+    """As ``likeness`` of their fingerprints."""
+    shift, mask = np.uint64(45), np.uint64(0xFFF)
+    has_a, has_b = a != _NONE, b != _NONE
+    filled = int((has_a | has_b).sum())
+    alike = int((has_a & has_b & ((a >> shift & mask) == (b >> shift & mask))).sum())
+    return 2 * alike / (filled + alike) if filled else 1.0
+
+
 def likeness(a: str, b: str) -> float:
     """0 to 1 for two fingerprints; equal ones are 1."""
     if a == b:
@@ -128,7 +137,8 @@ def edited(text: str, following: str) -> str:
 
 
 def edit_trial(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, next_fingerprint) of every row, the edit taking its text from the next row.
+    """(doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, next_fingerprint, near_edited, near_next) of every row, the edit taking its text from the next row.
+    near_edited and near_next are the likeness of a row's fingerprint to those of its edited text and of the next row.
 
     Rows stand in ascending order of id (null ids first; rows of one id by their text), and the first follows the last. Null texts
     count as empty. A single row follows itself. Texts are shuffled once, in ``parts`` ranges of ids; the first row of each range is sent to the range before as well.
@@ -137,7 +147,7 @@ def edit_trial(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = texts_of(docs, id_col, text_col)
-    names = ("doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "next_fingerprint")
+    names = ("doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "next_fingerprint", "near_edited", "near_next")
     id_type = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,17 +158,19 @@ def edit_trial(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for k, text in enumerate(chunk.column("text").to_pylist()):
                 if extra[k] and (waiting is None or waiting[0] != part[k]):
                     continue
-                own = shown(sketch(text))
+                least = sketch(text)
+                own = shown(least)
                 if waiting is not None and waiting[0] == part[k]:
-                    _, doc_id, before, print_before = waiting
+                    _, doc_id, before, least_before, print_before = waiting
                     new = edited(before, text)
-                    rows.append((len(before), new, print_before, shown(sketch(new)), own))
+                    least_new = sketch(new)
+                    rows.append((len(before), new, print_before, shown(least_new), own, likeness_of_sketches(least_before, least_new), likeness_of_sketches(least_before, least)))
                     ids.append(doc_id)
-                waiting = None if extra[k] else (part[k], chunk.column("doc_id").slice(k, 1), text, own)
+                waiting = None if extra[k] else (part[k], chunk.column("doc_id").slice(k, 1), text, least, own)
             if rows:
                 columns = list(zip(*rows))
-                types = (pa.int64(), *[pa.string()] * 4)
+                types = (pa.int64(), *[pa.string()] * 4, pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(c, t) for c, t in zip(columns, types))], names)
 
     ordered = in_order_with_next(src, "doc_id", ["text"], parts).select("doc_id", "text", "part", "extra")
-    return ordered.mapInArrow(run, f"doc_id {id_type}, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, next_fingerprint string")
+    return ordered.mapInArrow(run, f"doc_id {id_type}, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, next_fingerprint string, near_edited double, near_next double")
