@@ -76,16 +76,20 @@ def tightened_least(resid: DataFrame, cut: float, least: int, most_rotations: in
     return out.select("shot", F.when(none, F.lit(least)).otherwise(F.col("over.n_pred") + 1).cast("int").alias("least"), F.when(none, F.col("all")).otherwise(F.col("over.above")).alias("n_rot"))
 
 
-def perturbations(spark, size: float, step: float) -> DataFrame:
-    """(d, x00..x22): small rotations Rx Ry Rz for every triple of angles (degrees) in -size, -size + step, .., size but for three zeros."""
-    angles = np.arange(-size, size + 1e-6, step)
-    rows = []
+def small_rotations(size: float, step: float) -> list[np.ndarray]:
+    """Rx Ry Rz for every triple of angles (degrees) in -size, -size + step, .., size but for three zeros."""
+    angles, out = np.arange(-size, size + 1e-6, step), []
     for a, b, c in itertools.product(angles, repeat=3):
         if abs(a) + abs(b) + abs(c) < 1e-8:
             continue
         (ca, cb, cc), (sa, sb, sc) = (tuple(f(math.radians(v)) for v in (a, b, c)) for f in (math.cos, math.sin))
-        m = np.array([[1, 0, 0], [0, ca, -sa], [0, sa, ca]]) @ np.array([[cb, 0, sb], [0, 1, 0], [-sb, 0, cb]]) @ np.array([[cc, -sc, 0], [sc, cc, 0], [0, 0, 1]])
-        rows.append((len(rows), *map(float, m.ravel())))
+        out.append((np.array([[1, 0, 0], [0, ca, -sa], [0, sa, ca]]) @ np.array([[cb, 0, sb], [0, 1, 0], [-sb, 0, cb]]) @ np.array([[cc, -sc, 0], [sc, cc, 0], [0, 0, 1]])).ravel())
+    return out
+
+
+def perturbations(spark, size: float, step: float) -> DataFrame:
+    """(d, x00..x22): the rows of ``small_rotations``."""
+    rows = [(k, *map(float, m)) for k, m in enumerate(small_rotations(size, step))]
     return spark.createDataFrame(rows, "d int, " + ", ".join(f"x{i}{j} double" for i in range(3) for j in range(3)))
 
 

@@ -14,8 +14,14 @@ C, D, N = repr(G.corner), repr(G.delta), G.n
 M = [f"m{i}{j}" for i in range(3) for j in range(3)]
 
 
+def _number(v) -> str:
+    """With an exponent, a literal is a double and not a decimal."""
+    text = repr(v)
+    return text if isinstance(v, int) or "e" in text else text + "e0"
+
+
 def _rows(rows) -> str:
-    return ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
+    return ", ".join("(" + ", ".join(map(_number, r)) + ")" for r in rows)
 
 
 def r6(x: str, name: str | None = None) -> str:

@@ -147,7 +147,11 @@ def _residuals(spark, sf):
     return orient.residuals(f.refl(spark, sf).select("shot", "refl_id", *g.QS), f.rotation(spark), CELL)
 
 
-@query("rot_subsample")
+_SMALL = [(k, *map(float, x)) for k, x in enumerate(orient.small_rotations(1.0, 1.0))]
+_TURNED = ", ".join(o.r6(" + ".join(f"m{i}{k} * x{j}{k}" for k in range(3)), f"m{i}{j}") for i in range(3) for j in range(3))
+
+
+@query("rot_subsample", f"SELECT shot, r, d, {_TURNED} FROM prob_rot JOIN rot USING (r), (VALUES {o._rows(_SMALL)}) s(d, {', '.join(f'x{i}{j}' for i in range(3) for j in range(3))})")
 def rot_subsample(spark, sf):
     near = orient.perturbed(f.prob_rot(spark, sf), f.rotation(spark), orient.perturbations(spark, 1.0, 1.0))
     return rounded(near, *M)
@@ -580,7 +584,14 @@ def signal_level(spark, sf):
     return rounded(bg.signal_level(f.refl(spark, sf), f.image(spark, sf)), "level")
 
 
-@query("bg_median_filter")
+def _mirrored(c: str, top: str) -> str:
+    return f"CASE WHEN {c} < 0 THEN -({c}) - 1 WHEN {c} > {top} THEN 2 * {top} + 1 - ({c}) ELSE {c} END"
+
+
+_STEPS5 = ", ".join(f"({k})" for k in range(-2, 3))
+
+
+@query("bg_median_filter", f"WITH filled AS (SELECT i.shot, i.x, i.y, CASE WHEN s.x IS NULL THEN i.v ELSE r.v END AS v FROM image i JOIN bins b ON i.x = b.x AND i.y = b.y JOIN radial r ON r.shot = i.shot AND r.qbin = b.qbin LEFT JOIN strong s ON s.shot = i.shot AND s.x = i.x AND s.y = i.y), ext AS (SELECT shot, max(x) AS mx, max(y) AS my FROM filled GROUP BY shot), around9 AS (SELECT shot, x, y, {_mirrored('x + dx', 'mx')} AS x2, {_mirrored('y + dy', 'my')} AS y2 FROM filled JOIN ext USING (shot), (VALUES {_STEPS5}) a(dx), (VALUES {_STEPS5}) c(dy)) SELECT n.shot, n.x, n.y, {o.r6('median(f.v)', 'v')} FROM around9 n JOIN filled f ON f.shot = n.shot AND f.x = n.x2 AND f.y = n.y2 GROUP BY n.shot, n.x, n.y")
 def bg_median_filter(spark, sf):
     return rounded(bg.median_filter(bg.filled(f.image(spark, sf), f.bins(spark), bg.strong_pixels(f.refl(spark, sf))), 5), "v")
 
@@ -589,7 +600,7 @@ def _bright(spark, sf):
     return f.image(spark, sf).filter("v > 20")
 
 
-@query("label_spots")
+@query("label_spots", "SELECT shot, x, y, CAST(dense_rank() OVER (PARTITION BY shot ORDER BY root) AS INTEGER) AS label FROM (WITH RECURSIVE bright AS (SELECT shot, x, y FROM image WHERE v > 20), reach AS (SELECT shot, x, y, x AS x2, y AS y2 FROM bright UNION SELECT r.shot, r.x, r.y, b.x, b.y FROM reach r JOIN bright b ON r.shot = b.shot AND abs(r.x2 - b.x) + abs(r.y2 - b.y) = 1) SELECT shot, x, y, min(y2 * 1000 + x2) AS root FROM reach GROUP BY shot, x, y)")
 def label_spots(spark, sf):
     return bg.label_spots(_bright(spark, sf))
 
