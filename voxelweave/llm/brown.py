@@ -18,6 +18,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
+from itertools import compress
+from math import fsum
+from operator import is_
 from zlib import crc32
 
 import numpy as np
@@ -34,6 +38,7 @@ MIX = (0.9, 0.09, 0.01)
 HELD, REMEMBERED = 250_000, 200_000
 #: The end token; no word is empty.
 END = ""
+_NOT_KNOWN = partial(is_, None)
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -236,28 +241,30 @@ def text_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     model, counts = fit(src.filter(learn), classes)
     shared = spark.sparkContext.broadcast(model)
     id_type = src.schema["doc_id"].dataType.simpleString()
-    word_list = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         symbols = Symbols(m.head)
         log_known = {w: float(np.log10(c + 1)) for w, c in m.known.items()}
         for chunk in text_chunks(batches):
-            n_tokens, n_known, counted, classed, rest = [], [], [], [], []
+            n_tokens, n_known, counted, classed = [], [], [], []
+            words_left, times_left, ends = [], [], [0]
             for text in chunk.column("text").to_pylist():
                 words = tokens_of(text)
                 row = m.classes[np.fromiter((0, *map(symbols.__getitem__, words), 0), np.int64, len(words) + 2)]
                 classed.append(float((m.transition[row[:-1], row[1:]] - m.unseen[row[1:]]).sum()))
-                times = Counter(words)
-                times[b""] += 1
-                here = [(w, t) for w, t in times.items() if w in log_known]
-                counted.append(sum(log_known[w] * t for w, t in here))
-                n_known.append(sum(t for w, t in here if m.known[w]))
+                logs = list(map(log_known.get, words))
+                left = Counter(compress(words, map(_NOT_KNOWN, logs)))
+                words_left += left.keys()
+                times_left += left.values()
+                ends.append(len(words_left))
+                counted.append(fsum(filter(None, logs)) + log_known[b""])
+                n_known.append(len(words) - sum(left.values()) + (m.known[b""] > 0))
                 n_tokens.append(len(words) + 1)
-                rest.append([{"word": w.decode(), "times": t} for w, t in times.items() if w not in log_known])
+            pairs = pa.StructArray.from_arrays([pa.array(words_left, pa.binary()).cast(pa.string()), pa.array(times_left, pa.int64())], ["word", "times"])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": chunk.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                "counted": pa.array(counted, pa.float64()), "classed": pa.array(classed, pa.float64()), "rest": pa.array(rest, word_list),
+                "counted": pa.array(counted, pa.float64()), "classed": pa.array(classed, pa.float64()), "rest": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
             })
 
     own = src.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_known long, counted double, classed double, rest array<struct<word:string,times:long>>")
