@@ -49,3 +49,6 @@ def test_rows_of_every_kind(spark):
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert round_trip(df.limit(0)).collect() == []
+    path = P.path(VOCABULARY)
+    apart = bpe.decode(bpe.encode(df, path, P.PATTERN), path, P.PATTERN)
+    assert sorted(map(tuple, apart.collect()), key=str) == sorted(map(tuple, bpe.encode_and_decode(df, path, P.PATTERN).collect()), key=str)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from voxelweave.llm.common import map_texts, small_batches, texts_of
 
 #: Characters of a text leaf, bytes of a piece leaf, and pieces that a worker remembers at once (of at most PIECE_CHARS characters).
-TEXT_LEAF, PIECE_LEAF, REMEMBERED, PIECE_CHARS = 2048, 24, 250_000, 48
+TEXT_LEAF, PIECE_LEAF, REMEMBERED, PIECE_CHARS = 2048, 24, 150_000, 48
 _NO_RANK = 1 << 60
 
 
@@ -42,16 +42,17 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class _Pieces(dict):
-    """Tokens of pieces, up to a bound; then it starts anew."""
+    """Tokens of pieces, up to a bound; then those that do not come again before it is reached once more are forgotten."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        got = self.encode(piece)
+        got = self.before.get(piece) or self.encode(piece)
         if len(piece) <= PIECE_CHARS:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = got
         return got
@@ -193,6 +194,19 @@ def _shared(spark, path: str, pattern: str):
     return (hash(content), pattern), spark.sparkContext.broadcast(content)
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded) for every row: ids as ``encode`` gives them, and the bytes that ``decode`` gives for them, in one pass of one worker."""
+    key, content = _shared(docs.sparkSession, path, pattern)
+    src = texts_of(docs, id_col, text_col)
+
+    def kernel(chunk: pa.RecordBatch) -> dict:
+        enc = _encoder(key, content.value)
+        ids = [enc.encode(t) for t in chunk.column("text").to_pylist()]
+        return {"doc_id": chunk.column("doc_id"), "ids": pa.array([x.tobytes() for x in ids], pa.binary()), "decoded": pa.array([enc.decode(x.tolist()) for x in ids], pa.binary())}
+
+    return map_texts(src, kernel, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for every row; ids: token ids as little-endian unsigned 32-bit integers, one after another.
 

@@ -15,8 +15,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
-    back = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    back = bpe.encode_and_decode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return back.select(
         "doc_id", F.expr("cast(length(ids) / 4 AS long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
