@@ -10,6 +10,8 @@ from voxelweave.config import Cell, Grid, symmetry_matrices
 from voxelweave.functions.scalars import errdiv, matrix_columns, round_half_down, times_vector
 
 QS = ("qx", "qy", "qz")
+#: Rotations (of some hundred bytes each) that are broadcast.
+MOST_ROTATIONS = 500_000
 
 
 def place(q: Column, grid: Grid) -> Column:
@@ -27,9 +29,15 @@ def in_bounds(qs: list[Column], grid: Grid) -> Column:
 
 
 def rotated(pixels: DataFrame, rotations: DataFrame, on=None) -> DataFrame:
-    """Pixels (t, qx, qy, qz, ...) in the frame of each rotation (r, m00..m22): q becomes m q. ``rotations`` is a rotation grid or a part of
-    it; the side that the size check of the join allows is broadcast, by Spark's own threshold."""
-    both = pixels.crossJoin(rotations) if on is None else pixels.join(rotations, on)
+    """Pixels (t, qx, qy, qz, ...) in the frame of each rotation (r, m00..m22): q becomes m q.
+
+    The pairing is what is asked for. A grid of at most MOST_ROTATIONS (counted here) is broadcast, and the pixels stay where they are, however many; a
+    larger one is paired block by block, partition against partition, so that neither side is ever in one place."""
+    if on is None:
+        small = rotations.limit(MOST_ROTATIONS + 1).count() <= MOST_ROTATIONS
+        both = pixels.crossJoin(F.broadcast(rotations) if small else rotations)
+    else:
+        both = pixels.join(rotations, on)
     q = F.struct(*(x.alias(n) for x, n in zip(times_vector(matrix_columns(), [F.col(c) for c in QS]), ("ux", "uy", "uz"))))
     keep = [c for c in both.columns if c not in QS and not (len(c) == 3 and c[0] == "m" and c[1:].isdigit())]
     # a generator keeps the rotation from being repeated in each of the six comparisons that follow
