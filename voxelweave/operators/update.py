@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.config import Grid
+from voxelweave.functions.scalars import EPSILON
 from voxelweave.operators.grid import QS, friedel, insert, rotated, symmetrize
 from voxelweave.operators.likelihood import finite
+from voxelweave.session import cut
 
 
 def tomograms(p: DataFrame, shot_px: DataFrame, shots: DataFrame, least: float = 1e-5) -> DataFrame:
@@ -62,39 +64,35 @@ def scales_at_limits(shots: DataFrame, low: float, high: float, tolerance: float
     return shots.agg(at(low).alias("n_low"), at(high).alias("n_high"))
 
 
-def fitted_scales(terms: DataFrame, p: DataFrame, shots: DataFrame, steps: int = 50, low: float = 1e-6, high: float = 1e6) -> DataFrame:
-    """(shot, phi): the scale with the highest probable likelihood of each shot. Shots are independent, and the likelihood is concave in the scale, so
-    each is solved by itself: a group holds one shot's (rotation, pixel) rows, a number that does not grow with the number of shots."""
-
-    def solve(pdf):
-        import numpy as np
-        import pandas as pd
-
-        k, b, w, p = (pdf[c].to_numpy(np.float64) for c in ("k", "b", "w", "p"))
-
-        def slope(x):
-            return float((p * (k * w / (np.maximum(b + x * w, 0) + 1e-6) - w)).sum())
-
-        a, z = low, high
-        if not (p * w).sum() > 0 or slope(a) <= 0:
-            x = a if (p * w).sum() > 0 else float(pdf["phi"].iloc[0])
-        elif slope(z) >= 0:
-            x = z
-        else:
-            x = min(max(float(pdf["phi"].iloc[0]), a), z)
-            for _ in range(steps):  # Newton's step, by halves where it leaves the bracket
-                s = slope(x)
-                a, z = (x, z) if s > 0 else (a, x)
-                curve = -float((p * k * w * w / (np.maximum(b + x * w, 0) + 1e-6) ** 2).sum())
-                new = x - s / curve if curve < 0 else (a + z) / 2
-                new = new if a < new < z else (a * z) ** 0.5
-                if abs(new - x) <= 1e-12 * x:
-                    break
-                x = new
-        return pd.DataFrame({"shot": pdf["shot"].iloc[:1], "phi": [x]})
-
-    shot_type = shots.schema["shot"].dataType.simpleString()
-    rows = terms.join(p.select("shot", "r", "p"), ["shot", "r"]).select("shot", "k", "b", "w", "p", "phi")
-    solved = rows.groupBy("shot").applyInPandas(solve, f"shot {shot_type}, phi double")
-    kept = shots.select("shot", F.col("phi").alias("before"))
-    return kept.join(solved, "shot", "left").select("shot", F.coalesce("phi", "before").alias("phi"))
+def fitted_scales(terms: DataFrame, p: DataFrame, shots: DataFrame, steps: int = 40, low: float = 1e-6, high: float = 1e6, tolerance: float = 1e-11) -> DataFrame:
+    """(shot, phi): the scale between ``low`` and ``high`` with the highest probable likelihood of each shot; shots without probable signal keep theirs.
+
+    The likelihood is concave in a shot's scale. All shots take Newton's step at once, inside of brackets that shrink, from two sums by shot; partial sums are
+    taken before the shuffle, so a shot may have any number of pixels and rotations. Shots that have settled leave the next sums.
+    """
+    rows = cut(terms.join(p.filter("p > 0").select("shot", "r", "p"), ["shot", "r"]).select("shot", "k", "b", "w", "p"))
+
+    def slope(x):
+        return F.sum(F.col("p") * (F.col("k") * F.col("w") / (F.greatest(F.col("b") + x * F.col("w"), F.lit(0.0)) + EPSILON) - F.col("w")))
+
+    ends = rows.groupBy("shot").agg(F.sum(F.col("p") * F.col("w")).alias("pw"), slope(F.lit(low)).alias("at_low"), slope(F.lit(high)).alias("at_high"))
+    known = shots.select("shot", "phi").join(ends, "shot", "left")
+    usable = F.coalesce(F.col("pw") > 0, F.lit(False))
+    inner = usable & (F.col("at_low") > 0) & (F.col("at_high") < 0)
+    end = F.when(usable & (F.col("at_low") <= 0), F.lit(low)).when(usable & (F.col("at_high") >= 0), F.lit(high)).otherwise(F.col("phi"))
+    start = F.when(inner, F.least(F.greatest("phi", F.lit(2 * low)), F.lit(high / 2))).otherwise(end)
+    state = cut(known.select("shot", start.alias("phi"), F.lit(low).alias("lo"), F.lit(high).alias("hi"), inner.alias("live")))
+    for _ in range(steps):
+        if not state.filter("live").limit(1).count():
+            break
+        x = F.greatest(F.col("b") + F.col("phi") * F.col("w"), F.lit(0.0)) + EPSILON
+        sums = rows.join(state.filter("live").select("shot", "phi"), "shot").groupBy("shot").agg(
+            F.sum(F.col("p") * (F.col("k") * F.col("w") / x - F.col("w"))).alias("s"), F.sum(F.col("p") * F.col("k") * F.col("w") * F.col("w") / (x * x)).alias("c"))
+        up = F.col("s") > 0
+        both = state.join(sums, "shot", "left").withColumns({"a": F.when(up, F.col("phi")).otherwise(F.col("lo")), "z": F.when(up, F.col("hi")).otherwise(F.col("phi"))})
+        newton = F.col("phi") + F.try_divide("s", "c")
+        new = F.when((newton > F.col("a")) & (newton < F.col("z")), newton).otherwise(F.sqrt(F.col("a") * F.col("z")))
+        both = both.withColumn("new", F.when(F.col("live"), new).otherwise(F.col("phi")))
+        moved = F.abs(F.col("new") - F.col("phi")) > tolerance * F.col("phi")
+        state = cut(both.select("shot", F.col("new").alias("phi"), F.col("a").alias("lo"), F.col("z").alias("hi"), (F.col("live") & moved).alias("live")))
+    return state.select("shot", "phi")
