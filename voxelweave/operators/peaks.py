@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,64 @@ def integrate_linear(hkls: DataFrame, voxels: DataFrame, grid: Grid) -> DataFram
     return interpolate(hkls, voxels, grid, HKL).withColumnRenamed("w", "i")
 
 
+def spline_coefficients(values: np.ndarray) -> np.ndarray:
+    """Cubic B-spline coefficients of a dense array, mirrored at its ends: along each axis, neighbours weighted 1/6, 4/6, 1/6 give the values back."""
+    out = np.asarray(values, float)
+    for axis in range(out.ndim):
+        n = out.shape[axis]
+        if n < 2:
+            continue
+        lines = np.moveaxis(out, axis, 0).reshape(n, -1)
+        lower, upper = np.full(n, 1 / 6), np.full(n, 1 / 6)
+        upper[0], lower[-1] = 2 / 6, 2 / 6
+        # elimination in one sweep down and one up, for all lines of the axis together
+        ratio, c = np.zeros(n), np.zeros_like(lines)
+        ratio[0], c[0] = upper[0] / (4 / 6), lines[0] / (4 / 6)
+        for i in range(1, n):
+            pivot = 4 / 6 - lower[i] * ratio[i - 1]
+            ratio[i], c[i] = upper[i] / pivot, (lines[i] - lower[i] * c[i - 1]) / pivot
+        for i in range(n - 2, -1, -1):
+            c[i] -= ratio[i] * c[i + 1]
+        out = np.moveaxis(c.reshape(np.moveaxis(out, axis, 0).shape), 0, axis)
+    return out
+
+
+def spline_values(coefficients: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The spline at places (rows of voxel coordinates) within the array; 0 outside of it."""
+    n = np.array(coefficients.shape)
+    inside = ((at >= 0) & (at <= n - 1)).all(axis=1)
+    base = np.floor(at).astype(int)
+    d = at - base
+    weights = np.stack([(1 - d) ** 3 / 6, (3 * d ** 3 - 6 * d ** 2 + 4) / 6, (3 * (1 - d) ** 3 - 6 * (1 - d) ** 2 + 4) / 6, d ** 3 / 6], axis=2)
+    out = np.zeros(len(at))
+    for offsets in itertools.product(range(4), repeat=3):
+        i = base + np.array(offsets) - 1
+        i = np.abs(i)
+        i = np.where(i > n - 1, 2 * (n - 1) - i, i)
+        i = np.clip(i, 0, n - 1)
+        out += coefficients[i[:, 0], i[:, 1], i[:, 2]] * weights[:, 0, offsets[0]] * weights[:, 1, offsets[1]] * weights[:, 2, offsets[2]]
+    return np.where(inside, out, 0.0)
+
+
+def integrate_spline(hkls: DataFrame, voxels: DataFrame, grid: Grid, max_voxels: int = 1 << 27) -> DataFrame:
+    """(h, k, l, i): the cubic spline through the voxels at each index. The coefficients of a whole grid depend on one another, so it is packed and broadcast; a
+    grid of more than ``max_voxels`` raises."""
+    if grid.n ** 3 > max_voxels:
+        raise ValueError(f"a grid of {grid.n} a side is over {max_voxels} voxels")
+    dense = np.zeros(grid.n ** 3)
+    for r in voxels.select("vox", "w").toLocalIterator():
+        dense[r["vox"]] = r["w"]
+    shared = hkls.sparkSession.sparkContext.broadcast(spline_coefficients(dense.reshape((grid.n,) * 3)))
+    corner, delta = grid.corner, grid.delta
+
+    def run(batches):
+        for b in batches:
+            at = (b[["qx", "qy", "qz"]].to_numpy() - corner) / delta
+            yield b[HKL].assign(i=spline_values(shared.value, at))
+
+    return hkls.select(*HKL, "qx", "qy", "qz").mapInPandas(run, "h int, k int, l int, i double")
+
+
 def fit_gaussian(box: np.ndarray, steps: int = 100) -> tuple[float, bool]:
     """(amplitude, success) of A exp(-x²/2sx² - y²/2sy² - z²/2sz²) about the middle of a box of odd sides, by damped Gauss-Newton in log parameters."""
     axes = np.meshgrid(*(np.arange(s) - s // 2 for s in box.shape), indexing="ij")

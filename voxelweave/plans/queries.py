@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,7 @@ from voxelweave.operators import orient, peaks, rotations, update
 from voxelweave.plans import fixtures as f
 from voxelweave.plans import oracle as o
 from voxelweave.plans import reconstruct
+from voxelweave.session import shared_folder
 from voxelweave.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +161,7 @@ def rot_subsample(spark, sf):
 
 # ---------------------------------------------------------------- sources
 
+
 _Q = ", ".join(f"CAST(embedding[{k + 4}] AS DOUBLE) AS e{k}" for k in range(4))
 _U = [("1 - 2 * (b * b + c * c)", "2 * (a * b - c * s)", "2 * (a * c + b * s)"), ("2 * (a * b + c * s)", "1 - 2 * (a * a + c * c)", "2 * (b * c - a * s)"), ("2 * (a * c - b * s)", "2 * (b * c + a * s)", "1 - 2 * (a * a + b * b)")]
 
@@ -202,9 +205,9 @@ def half_split(spark, sf):
     return files.halves(f.shot(spark, sf).select("shot"))
 
 
-@query("emc_input_filter", "SELECT shot, n_rot FROM (SELECT shot, count(*) AS n_rot FROM prob_rot WHERE r >= shot % 8 GROUP BY shot) WHERE n_rot BETWEEN 26 AND 27")
+@query("emc_input_filter", "SELECT shot, n_rot FROM (SELECT shot, count(*) AS n_rot FROM prob_rot WHERE r >= shot % 8 GROUP BY shot) WHERE n_rot BETWEEN 26 AND 28")
 def emc_input_filter(spark, sf):
-    return files.usable_shots(f.shot(spark, sf), f.prob_rot(spark, sf).filter(F.col("r") >= F.col("shot") % 8), 26, 27)
+    return files.usable_shots(f.shot(spark, sf), f.prob_rot(spark, sf).filter(F.col("r") >= F.col("shot") % 8), 26, 28)
 
 
 @query("trusted_range", "SELECT shot, x, y, v FROM image WHERE v > 1 AND v < 60")
@@ -228,13 +231,27 @@ def scale_restart_join(spark, sf):
     return rounded(files.restarted_scales(s, s.select("name", (F.col("phi") * 1.5).alias("phi"))), "phi")
 
 
+@query("emc_input_roundtrip", "SELECT 'shot' || shot AS name, shot, n_rot, CAST(n_px AS INTEGER) AS n_px FROM (SELECT shot, count(*) AS n_rot FROM prob_rot GROUP BY shot) JOIN (SELECT shot, count(*) AS n_px FROM shot_px GROUP BY shot) USING (shot) WHERE n_rot BETWEEN 1 AND 40")
+def emc_input_roundtrip(spark, sf):
+    path = f"{shared_folder(spark)}/inputs-{uuid.uuid4().hex}"
+    files.write_inputs(f.shot(spark, sf), f.shot_px(spark, sf), f.prob_rot(spark, sf), path)
+    found = files.read_inputs(spark, path, 1, 40)
+    return found.select("name", "shot", F.size("rots").cast("long").alias("n_rot"), F.size("k").alias("n_px"))
+
+
+@query("background_cache", "SELECT shot, count(*) AS n FROM image GROUP BY shot")
+def background_cache(spark, sf):
+    """Backgrounds of even shots come from a cache, those of odd ones are worked out."""
+    image = f.image(spark, sf)
+    path = f"{shared_folder(spark)}/backgrounds-{uuid.uuid4().hex}"
+    flat = lambda part: part.select("shot", "x", "y", F.lit(1.0).alias("bg"))
+    files.cached_by_shot(image.filter("shot % 2 = 0"), path, flat)
+    return files.cached_by_shot(image, path, flat).groupBy("shot").agg(F.count("*").alias("n"))
+
+
 @query("density_snapshot", f"SELECT CAST(i AS INTEGER) AS vox, round(coalesce(w, 0), 6) + 0.0 AS w FROM range({N ** 3}) t(i) LEFT JOIN (SELECT * FROM voxels JOIN masked USING (vox)) v ON v.vox = t.i")
 def density_snapshot(spark, sf):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
     files.write_snapshot(f.voxel(spark, sf).join(f.mask(spark, sf), "vox", "left_semi"), path, 3, GRID.max_q, CELL)
     return rounded(files.read_snapshot(spark, path, 3, N), "w")
 
@@ -663,6 +680,11 @@ def integrate_linear(spark, sf):
     return rounded(peaks.integrate_linear(_hkls(spark), f.voxel(spark, sf), GRID), "i")
 
 
+@query("integrate_spline")
+def integrate_spline(spark, sf):
+    return rounded(peaks.integrate_spline(_hkls(spark), f.voxel(spark, sf), GRID), "i")
+
+
 @query("integrate_fit")
 def integrate_fit(spark, sf):
     return rounded(peaks.integrate_fit(_hkls(spark), f.voxel(spark, sf), GRID), "i", places=4)

@@ -141,7 +141,7 @@ def packed_objective(packed: DataFrame, p: DataFrame, scene: Scene, density: np.
 
 
 def lbfgs(fun, x: np.ndarray, steps: int, memory: int = 8) -> tuple[np.ndarray, list[float]]:
-    """Minimise fun(x) -> (value, gradient) by the two-loop recursion with backtracking; returns x and the values on the way."""
+    """Minimise fun(x) -> (value, gradient) by the two-loop recursion with backtracking; returns x and the values on the way. Without ``memory`` it is a line search down the gradient."""
     f, grad = fun(x)
     values, pairs = [f], []
     for _ in range(steps):
@@ -172,7 +172,7 @@ def lbfgs(fun, x: np.ndarray, steps: int, memory: int = 8) -> tuple[np.ndarray,
             break
         s, y = new - x, g_new - grad
         if s @ y > 1e-12 * float(np.linalg.norm(s) * np.linalg.norm(y)):
-            pairs = [*pairs[-memory + 1:], (s, y)]
+            pairs = [*pairs, (s, y)][-memory:] if memory else []
         done = f - f_new <= 1e-10 * max(1.0, abs(f))
         x, f, grad = new, f_new, g_new
         values.append(f)
@@ -181,7 +181,7 @@ def lbfgs(fun, x: np.ndarray, steps: int, memory: int = 8) -> tuple[np.ndarray,
     return x, values
 
 
-def density_step(packed: DataFrame, p: DataFrame, scene: Scene, density: np.ndarray, steps: int) -> tuple[np.ndarray, list[float]]:
+def density_step(packed: DataFrame, p: DataFrame, scene: Scene, density: np.ndarray, steps: int, memory: int = 8) -> tuple[np.ndarray, list[float]]:
     """A positive density of higher probable likelihood: L-BFGS in the free parameter x, w = sqrt(x² + 1) - 1."""
     floor = min(1e-7, density[density > 0].min()) if (density > 0).any() else 1e-7
     x = np.sqrt((np.where(density > 0, density, floor) + 1) ** 2 - 1)
@@ -191,7 +191,7 @@ def density_step(packed: DataFrame, p: DataFrame, scene: Scene, density: np.ndar
         value, grad = packed_objective(packed, p, scene, root - 1)
         return -value, -grad * x / root
 
-    x, values = lbfgs(objective, x, steps)
+    x, values = lbfgs(objective, x, steps, memory)
     return np.sqrt(x * x + 1) - 1, [-v for v in values]
 
 
@@ -210,9 +210,9 @@ def to_density(scene: Scene, voxels: DataFrame) -> np.ndarray:
 
 
 def run(pixels: DataFrame, rotations: DataFrame, shot_px: DataFrame, shots: DataFrame, prob_rot: DataFrame, voxels: DataFrame, mask: DataFrame, grid: Grid, iterations: int,
-        symops: DataFrame | None = None, beta: float = 1.0, min_p: float = 0.0, method: str = "lbfgs", steps: int = 3, refine_scales: bool = False, on_iteration=None) -> tuple[DataFrame, DataFrame, list[dict]]:
+        symops: DataFrame | None = None, beta: float = 1.0, min_p: float = 0.0, method: str = "lbfgs", steps: int = 3, refine_scales: bool = False, scale_method: str = "analytical", on_iteration=None) -> tuple[DataFrame, DataFrame, list[dict]]:
     """(voxels, shots, history). Odd iterations after the fourth update scales if ``refine_scales``; all others update the density, by ``method``: lbfgs or
-    analytical. ``on_iteration(i, voxels, shots, p)`` may write snapshots. Every iteration starts from arrays on the driver and a scale table of its own, so plans do not grow."""
+    line_search or analytical; scales by ``scale_method``: analytical or likelihood. ``on_iteration(i, voxels, shots, p)`` may write snapshots. Every iteration starts from arrays on the driver and a scale table of its own, so plans do not grow."""
     spark = pixels.sparkSession
     scene = Scene.collect(pixels, rotations, mask, grid)
     density = to_density(scene, voxels)
@@ -225,12 +225,15 @@ def run(pixels: DataFrame, rotations: DataFrame, shot_px: DataFrame, shots: Data
         entry = {"iteration": i, "functional": before}
         if refine_scales and i > 4 and i % 2:
             model = likelihood.model_values(pixels, rotations, to_voxels(spark, scene, density), grid)
-            new = update.analytic_scales(p, model, shot_px, shots)
+            if scale_method == "likelihood":
+                new = update.fitted_scales(likelihood.pixel_terms(model, shot_px, shots, prob_rot), p, shots)
+            else:
+                new = update.analytic_scales(p, model, shot_px, shots)
             shots = cut(new.select("shot", "phi"))
             entry["updated"] = "scales"
         else:
-            if method == "lbfgs":
-                density, values = density_step(packed, p, scene, density, steps)
+            if method in ("lbfgs", "line_search"):
+                density, values = density_step(packed, p, scene, density, steps, 8 if method == "lbfgs" else 0)
                 entry["after"] = values[-1]
             else:
                 density = to_density(scene, update.compressed(update.tomograms(p, shot_px, shots), pixels, rotations, grid, None, False))

@@ -17,13 +17,21 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in spark.checkpoint.dir; a folder of this machine only where that is unset on a local master."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of this machine only where that is unset on a local master."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or "file://" + os.path.join(tempfile.gettempdir(), "voxelweave-checkpoints"))
+        sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "voxelweave-checkpoints"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -152,3 +152,36 @@ def in_order(names: DataFrame, col: str = "name") -> DataFrame:
     """(name, iteration, place) by iteration; names without one are left out."""
     n = names.withColumn("iteration", F.when(F.col(col).rlike(r"iter\d+\.[A-Za-z0-9]+$"), iteration_of(F.col(col)))).filter("iteration IS NOT NULL")
     return n.select(F.col(col).alias("name"), "iteration", F.row_number().over(Window.orderBy("iteration", col)).alias("place"))
+
+
+def write_inputs(shots: DataFrame, shot_px: DataFrame, prob_rot: DataFrame, path: str) -> None:
+    """One row a shot (name, shot, phi, rots, t, k, b), ragged columns as arrays, pixels in the order of t; what a reconstruction reads."""
+    px = shot_px.groupBy("shot").agg(F.sort_array(F.collect_list(F.struct("t", "k", "b"))).alias("p"))
+    rots = prob_rot.groupBy("shot").agg(F.sort_array(F.collect_set("r")).alias("rots"))
+    rows = shots.join(px, "shot").join(rots, "shot").select("name", "shot", "phi", "rots", *(F.col(f"p.{c}").alias(c) for c in "tkb"))
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_inputs(spark: SparkSession, path: str, least: int, most: int, limit: int | None = None) -> DataFrame:
+    """Shots of ``least`` to ``most`` probable rotations, the first ``limit`` by name if that is given."""
+    found = spark.read.parquet(path).filter(F.size("rots").between(least, most))
+    return found if limit is None else found.orderBy("name").limit(limit)
+
+
+def write_probabilities(p: DataFrame, path: str, iteration: int) -> None:
+    """(shot, r, p) under ``path``/iter=N."""
+    p.select("shot", "r", "p").write.mode("overwrite").parquet(f"{path}/iter={iteration}")
+
+
+def cached_by_shot(rows: DataFrame, path: str, work) -> DataFrame:
+    """``work`` of ``rows``, shot by shot: shots that ``path`` has are read from it, the others are worked out and added to it."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        work(rows).write.parquet(path)
+        return spark.read.parquet(path)
+    shots = rows.select("shot").distinct()
+    known = spark.read.parquet(path).select("shot").distinct()
+    new = shots.join(known, "shot", "left_anti")
+    work(rows.join(new, "shot", "left_semi")).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(shots, "shot", "left_semi")
