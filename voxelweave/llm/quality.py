@@ -23,7 +23,6 @@ EPOCHS, COST, SMOOTH = 30, 1.0, 1.0
 _LOWER = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(100_000)
 def shape(word: str) -> bytes:
     """E.g. Aa, a., A,!!, 0 and |; long words by their first and last 12 characters."""
     if len(word) > 24:
@@ -36,19 +35,30 @@ def shape(word: str) -> bytes:
     return "".join(out).encode("utf-8", "replace")
 
 
+@lru_cache(200_000)
+def _word(word: str) -> tuple[bytes, int]:
+    """A word's shape and bucket."""
+    return shape(word), crc32(word[:48].lower().encode("utf-8", "replace")) & (BUCKETS - 1)
+
+
+@lru_cache(200_000)
+def _shapes(two: bytes, one: bytes, s: bytes) -> tuple[int, int, int]:
+    """Buckets of a shape, and of it after one and after two others."""
+    mask, pair = BUCKETS - 1, one + b"\0" + s
+    return crc32(b"1" + s) & mask, crc32(b"2" + pair) & mask, crc32(b"3" + two + b"\0" + pair) & mask
+
+
 def features(text: str) -> linear.Features:
     """Indicators, as a vector of unit length."""
-    words = text.split()
-    mask, found = BUCKETS - 1, set()
+    found: set[int] = set()
     before, one, two = None, b"", b""
-    for word in words:
-        s = b"=" if word == before else shape(word)
-        found.add(crc32(b"1" + s) & mask)
-        pair = one + b"\0" + s
-        found.add(crc32(b"2" + pair) & mask)
-        found.add(crc32(b"3" + two + b"\0" + pair) & mask)
-        if word != before:
-            found.add(crc32(word[:48].lower().encode("utf-8", "replace")) & mask)
+    for word in text.split():
+        if word == before:
+            s = b"="
+        else:
+            s, bucket = _word(word)
+            found.add(bucket)
+        found.update(_shapes(two, one, s))
         before, two, one = word, one, s
     at = np.fromiter(found, np.int32, len(found))
     at.sort()
