@@ -96,6 +96,7 @@ def test_decontaminated_in_blocks(spark):
     one, many = (sorted(map(tuple, winnow.decontaminated(df, bench, block_words=w).collect()), key=str) for w in (10**6, 15))
     assert one == many and 0 < len(one) < 32 and (1, None, 0) in one
     assert len(winnow.decontaminated(df, bench.limit(0)).collect()) == 32
+    assert len(winnow.decontaminated(df, bench.selectExpr("item_id", "'!!' AS text")).collect()) == 32
 
 
 def test_stages_on_odd_rows(spark, tmp_path):

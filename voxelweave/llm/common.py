@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one kernel call sees at once, in characters; a longer text is a call of its own.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: Bytes and rows of one Arrow batch between the JVM and a Python worker.
-ARROW_BYTES = "8m"
+ARROW_BYTES = "4m"
 ARROW_ROWS = "2000"
 
 
@@ -30,18 +30,36 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset on a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + os.path.join(tempfile.gettempdir(), "voxelweave-shared")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "voxelweave-shared"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+#: Tables that this driver has written to the shared folder, so that they can be taken away.
+_WRITTEN: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/voxelweave/{name}-{uuid.uuid4().hex}"
+    """A new place in this application's part of the shared folder."""
+    _WRITTEN.append(f"{shared_dir(spark)}/voxelweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def written_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def delete_written(spark: SparkSession, since: int, keep: str) -> None:
+    """Take away what was written after ``since``, but for ``keep``: for a caller that knows that nothing reads it any more."""
+    for path in _WRITTEN[since:]:
+        if path != keep:
+            delete_path(spark, path)
+    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p == keep]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -123,7 +123,7 @@ def search(words: list[bytes], block: Block) -> tuple[np.ndarray, set]:
     """(places of hit words, items with occurring windows) of one document."""
     get = block.vocab.get
     ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-    if np.count_nonzero(ids) < block.levels[0].span:
+    if not block.levels or np.count_nonzero(ids) < block.levels[0].span:
         return np.empty(0, np.int64), set()
     hit: np.ndarray | None = None
     items: set = set()
@@ -194,7 +194,7 @@ def contamination(
             n_words, spans, items, key = [], [], [], []
             for text in chunk.column("text").to_pylist():
                 words = words_of(text)
-                at, who = search(words, own) if own and own.levels and words else (np.empty(0, np.int64), set())
+                at, who = search(words, own) if own and words else (np.empty(0, np.int64), set())
                 n_words.append(len(words))
                 spans.append(as_spans(at))
                 items.append(sorted(who))
