@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelweave.llm import bpe, quality, secrets, simhash, winnow
-from voxelweave.llm.common import crc32_of_id, delete_path, table, written
+from voxelweave.llm.common import crc32_of_id, delete_written, table, written, written_so_far
 
 #: Classifier scores from here on are good; a document is contaminated if one in so many of its words is hit.
 QUALITY, SHARE = 0.7, 20
@@ -41,8 +41,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): token ids as little-endian unsigned 32-bit integers; the digest of the text decoded from them shows that nothing is lost."""
-    path = public_tokenizers.path(VOCABULARY)
-    back = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    back = bpe.encode_and_decode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return back.select("doc_id", F.expr("cast(length(ids) / 4 AS long)").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -53,10 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), None
+    """The rows of the last stage. Each stage's output replaces that of the one before, and the tables that a stage's operator wrote on its way go with it."""
+    docs, start = table(spark, sf_dir, "documents"), written_so_far()
     for name, stage in STAGES:
         docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        if before:
-            delete_path(spark, before)
-        before = path
+        delete_written(spark, start, path)
     return docs
