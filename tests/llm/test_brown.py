@@ -39,6 +39,7 @@ def test_exchange_gains_what_it_says_and_ends_at_a_local_maximum():
 def test_against_a_plain_version(spark, monkeypatch, known, head, held):
     monkeypatch.setattr(brown, "KNOWN_WORDS", known)
     monkeypatch.setattr(brown, "HEAD_SYMBOLS", head)
+    monkeypatch.setattr(brown, "HELD", held)
     docs = pq.read_table(f"{DATA}/documents.parquet").to_pydict()
     docs = list(zip(docs["doc_id"], docs["text"]))
     got = {r.doc_id: r for r in op9_lm_scores(spark, DATA).collect()}

@@ -203,13 +203,31 @@ def _symbol_of(word: Column, head: int, rank: Column) -> Column:
     return F.when(word == END, 0).when(rank.isNotNull(), rank).otherwise(head + 1 + last).cast("int")
 
 
+def frequent_words(counts: DataFrame) -> dict[bytes, int]:
+    """The most frequent words with their counts, by count and then word, KNOWN_WORDS at most.
+
+    An ordered limit would send that many rows of every partition to the driver. Instead words are counted by steps of their frequency (sixteen
+    to a doubling, so a bounded number), and only those of the upper steps that hold KNOWN_WORDS together at most are collected.
+    """
+    words = counts.filter(F.col("word") != END).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    least, total = None, 0
+    for r in sorted(words.groupBy("step").agg(F.count("*").alias("v")).collect(), key=lambda r: -r["step"]):
+        total += r["v"]
+        if total > KNOWN_WORDS:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    found = [(r["word"].encode(), r["n"]) for r in words.filter(F.col("step") >= least).select("word", "n").collect()]
+    return dict(sorted(found, key=lambda x: (-x[1], x[0])))
+
+
 def fit(train: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """(model, counts) of the training texts (doc_id, text); counts: word, n."""
     spark = train.sparkSession
     counts, _ = written(word_counts(train), "word-counts")
-    top = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()  # a fixed bound
-    known = {r["word"].encode(): r["n"] for r in top}
-    head = [r["word"].encode() for r in top[:HEAD_SYMBOLS]]
+    known = frequent_words(counts)
+    head = list(known)[:HEAD_SYMBOLS]
     symbols = Symbols(head)
     bigrams = symbol_bigrams(train, symbols)
     by_symbol = exchange_classes(bigrams, classes)
