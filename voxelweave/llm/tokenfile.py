@@ -55,8 +55,8 @@ class WordEncoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         steps = json.loads(content)
         #: Whether the normalizer and pre-tokenizer are those that plain words may pass by.
-        self.plain = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [
-            n["type"] for n in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        self.plain = [n["type"] for n in (steps.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [
+            n["type"] for n in (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
 
     def encode_piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
