@@ -1,7 +1,7 @@
 """Linear text classifiers: bounded labelled samples, hashed sparse features, calibrated scores.
 
-Only the fit sees a sample: at most ``max_rows`` labelled rows, half of each class at most, taken by the order of a hash of their
-id, and at most ``max_features`` features of them in that order. Features of the sample are worked out on the executors; the driver gets
+Only the fit sees a sample: at most ``max_rows`` labelled rows, half of each class at most, those whose id has a low hash,
+and at most ``max_features`` features of them in the order of that hash. Features of the sample are worked out on the executors; the driver gets
 numbers, no texts. Scoring covers every row.
 """
 
@@ -35,15 +35,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
                     id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Sample:
     """Features and labels of a bounded sample of the rows of ``labels`` for which ``learn`` (on column doc_id) holds.
 
-    Rows with a null id or a label other than 0 and 1 are left out, and so are ids without a document; repeated rows count each within the bounds.
+    Rows with a null id or a label other than 0 and 1 are left out, and so are ids without a document; repeated labels count once.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(learn)
-    order = F.xxhash64("doc_id")
-    taken = None
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(learn).distinct()
+    order, most = F.xxhash64("doc_id"), max_rows // 2
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # a share of the hashes and not an ordered limit, which would send ``most`` rows of every partition to the driver
+    share, top = F.lit(False), (1 << 63) - 1
+    for y, n in sizes.items():
+        share = share | ((F.col("label") == y) & (order.bitwiseAND(F.lit(top)) <= F.lit(top if n <= most else int(top * 0.97 * most / n))))
+    low = known.filter(share).select("doc_id", "label", order.alias("turn")).collect()  # max_rows, but for chance
+    picked = []
     for y in (0, 1):
-        part = known.filter(F.col("label") == y).withColumn("turn", order).orderBy("turn", "doc_id").limit(max_rows // 2)
-        taken = part if taken is None else taken.unionByName(part)
-    picked = [(r["doc_id"], r["label"]) for r in taken.select("doc_id", "label").collect()]  # max_rows at most
+        picked += [(r["doc_id"], y) for r in sorted((r for r in low if r["label"] == y), key=lambda r: (r["turn"], r["doc_id"]))[:most]]
     if not picked:
         return Sample([], [], np.empty(0, np.int64))
     src = texts_of(docs, id_col, text_col)
