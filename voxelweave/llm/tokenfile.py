@@ -5,7 +5,7 @@ writer, so that files of failed or repeated tasks never show. A file is a row of
 SEGMENTS_IN_FILE of them, so a file's size is bounded however many documents a range has. Reading opens files through Spark as well.
 
 Encoding: the normalizer and pre-tokenizer of the vocabulary never look across ASCII white space, so the words between it are
-encoded by themselves, each distinct word of a slice once, many in one call of the library, and remembered up to a bound. Words are
+encoded by themselves and remembered up to a bound. Words are
 lower-cased (A-Z) first, as the normalizer would; not in texts with combining marks, which it joins with letters before it lower-cases them.
 A word of Latin-1 letters, with ASCII punctuation other than an apostrophe after them or none, is one piece or two whatever stands around it, so it
 goes to the library's model at once, piece by piece; all other words take the library's whole way.
@@ -29,7 +29,7 @@ from voxelweave.llm.common import small_batches, text_chunks, texts_of, written
 from voxelweave.llm.pfor import read_segment, write_segment
 
 #: Ids of a segment (a longer document is a segment of its own), segments of a file, and words that a worker remembers.
-SEGMENT_IDS, SEGMENTS_IN_FILE, REMEMBERED = 1 << 19, 16, 800_000
+SEGMENT_IDS, SEGMENTS_IN_FILE, REMEMBERED = 1 << 19, 16, 500_000
 
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -42,6 +42,24 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in seen}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
 
 
+class _Words(dict):
+    """Ids of words. Past half of the bound, words that have not come since the half before are forgotten."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.before = encode, most, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most // 2:
+            self.before = self.copy()
+            self.clear()
+        found = self.before.get(word)
+        if found is None:
+            found = self.encode(word)
+        self[word] = found
+        return found
+
+
 class WordEncoder:
     """Ids of texts by the ``tokenizers`` library, without special tokens; their strings in a text are ordinary text."""
 
@@ -50,8 +68,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(content)
         self.tokenizer.encode_special_tokens = True
-        self.remembered, self.words, self.before = remembered, {}, {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = _Words(self.encode_word, remembered), _Words(self.encode_piece, remembered // 4)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         steps = json.loads(content)
         #: Whether the normalizer and pre-tokenizer are those that plain words may pass by.
@@ -59,46 +76,20 @@ class WordEncoder:
             n["type"] for n in (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
 
     def encode_piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= self.remembered // 2:
-                self.pieces.clear()
-            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-        return found
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        out: dict[bytes, bytes] = {}
-        rest = []
-        for word in words:
-            m = _PLAIN.fullmatch(word.decode()) if self.plain else None
-            if m is None:
-                rest.append(word)
-            else:
-                out[word] = self.encode_piece(m[1].lower()) + (self.encode_piece(m[2]) if m[2] else b"")
-        if rest:
-            out.update(zip(rest, self.encode_others(rest)))
-        return [out[w] for w in words]
-
-    def encode_others(self, words: list[bytes]) -> list[bytes]:
-        e = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        data = np.array(e.ids, "<u4").tobytes()
-        ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(words)))).tolist()
-        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+    def encode_word(self, word: bytes) -> bytes:
+        text = word.decode()
+        m = _PLAIN.fullmatch(text) if self.plain else None
+        if m is None:
+            return np.array(self.tokenizer.encode([text], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.pieces[m[1].lower()] + (self.pieces[m[2]] if m[2] else b"")
 
     def encode_all(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, ``end`` after them."""
-        split = [_lowered(t.encode("utf-8", "replace")).split() for t in texts]
-        if len(self.words) > self.remembered // 2:  # words that no slice since then has had are forgotten next time
-            self.before, self.words = self.words, {}
-        need = list(set().union(*split).difference(self.words))
-        new = [w for w in need if w not in self.before]
-        self.words.update((w, self.before[w]) for w in need if w in self.before)
-        for at in range(0, len(new), 8192):
-            part = new[at:at + 8192]
-            self.words.update(zip(part, self.encode_words(part)))
         get, last = self.words.__getitem__, np.array([end], "<u4").tobytes()
-        return [b"".join(map(get, words)) + last for words in split]
+        return [b"".join(map(get, _lowered(t.encode("utf-8", "replace")).split())) + last for t in texts]
 
 
 def _lowered(data: bytes) -> bytes:
