@@ -67,6 +67,15 @@ def test_likeness(spark):
     assert np.mean(found) == pytest.approx(0.5, abs=0.05) and min(found) > 0.3
 
 
+def test_long_unrelated_texts_are_not_alike():
+    one, two = (" ".join(np.random.default_rng(seed).integers(0, 10**12, 120_000).astype(str)) for seed in (1, 2))
+    a, b = s.sketch(one), s.sketch(two)
+    assert len(one) > 1_500_000 and (a != s._NONE).all() and (b != s._NONE).all()
+    assert s.likeness_of_sketches(a, b) == s.likeness(s.shown(a), s.shown(b)) < 0.05
+    half = s.sketch(one[:len(one) // 2] + two[:len(one) // 2])
+    assert s.likeness_of_sketches(a, half) == pytest.approx(0.5, abs=0.15)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 20])
 def test_edit_trial_against_a_plain_version(spark, parts):
     rng = random.Random(parts)
