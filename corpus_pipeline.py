@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm import bpe, quality, secrets, simhash, winnow
+from voxelweave.llm import bpe, jaccard, quality, secrets, winnow
 from voxelweave.llm.common import crc32_of_id, delete_written, table, written, written_so_far
 
 #: Classifier scores from here on are good; a document is contaminated if one in so many of its words is hit.
@@ -24,8 +24,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash near-duplicate group stays, that of the smallest id."""
-    return simhash.deduplicated(docs, shingle=4, budget=4)
+    """One document of each near-duplicate group stays, that of the smallest id; links are a Jaccard similarity of five-word shingles of 0.8 or more, and those of SimHash (op1)."""
+    return jaccard.deduplicated(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ so that no link is lost and no task holds more than two chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -259,7 +259,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints, _ = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     groups, _ = written(groups, "groups")
-    comps = linked_components(groups.select("fp"), budget, bucket_rows)
+    return placed(prints, groups, linked_components(groups.select("fp"), budget, bucket_rows))
+
+
+def placed(prints: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id, root) of prints (doc_id, fp), their groups (fp, least_id, n) and comps (fp, root) of the fingerprints that have a link."""
     linked = groups.join(comps, "fp")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     # only fingerprints of more than one row or with links need a lookup
@@ -275,8 +279,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Where that id is on several rows of the component, or all ids of a component are null, the least row by
     fingerprint and text stays. Rows with an id of their own are chosen by id alone; only rows whose id is null or repeated are looked at once more.
     """
-    spark = docs.sparkSession
     found, _ = written(near_duplicates(docs, id_col, text_col, shingle, budget, bucket_rows), "components")
+    return one_of_each(docs, found, lambda rows, i, x: fingerprints(rows, i, x, shingle), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, prints_of: Callable[[DataFrame, str, str], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``deduplicated``, of found (doc_id, fp, component_id, root); prints_of gives (doc_id, fp) of rows by the names of their id and text."""
     gone = found.filter("doc_id <> component_id").select("doc_id")
     repeated, _ = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
     key = F.col(id_col)
@@ -287,7 +295,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     single = single.join(again, key.eqNullSafe(F.col("again_id")), "left_anti")
     # rows of repeated ids: their fingerprints once more, beside the whole row
     rows = docs.join(again, key.eqNullSafe(F.col("again_id")), "left_semi").select(F.struct(*docs.columns).alias("doc_id"), F.col(text_col).alias("text"), key.alias("own_id"))
-    prints = fingerprints(rows, "doc_id", "text", shingle).select(F.col("doc_id").alias("whole"), F.col("fp").alias("own_fp"))
+    prints = prints_of(rows, "doc_id", "text").select(F.col("doc_id").alias("whole"), F.col("fp").alias("own_fp"))
     comps = found.select("fp", "root", "component_id").distinct()
     own_id = F.col("whole")[id_col]
     lead = prints.join(comps, F.col("own_fp") == F.col("fp")).filter(own_id.eqNullSafe(F.col("component_id")))
