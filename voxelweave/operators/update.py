@@ -9,6 +9,7 @@ from voxelweave.config import Grid
 from voxelweave.functions.scalars import EPSILON
 from voxelweave.operators.grid import QS, friedel, insert, rotated, symmetrize
 from voxelweave.operators.likelihood import finite
+from voxelweave.operators.order import median
 from voxelweave.session import cut
 
 
@@ -55,7 +56,8 @@ def scale_changes(new: DataFrame, old: DataFrame, tolerance: float = 0.01) -> Da
 
 
 def scale_stats(shots: DataFrame) -> DataFrame:
-    return shots.agg(F.avg("phi").alias("mean_phi"), F.median("phi").alias("median_phi"), F.stddev_pop("phi").alias("std_phi"))
+    out = shots.agg(F.avg("phi").alias("mean_phi"), F.stddev_pop("phi").alias("std_phi"))
+    return out.select("mean_phi", F.lit(median(shots, "phi")).cast("double").alias("median_phi"), "std_phi")
 
 
 def scales_at_limits(shots: DataFrame, low: float, high: float, tolerance: float = 1e-8) -> DataFrame:
@@ -90,8 +92,8 @@ def fitted_scales(terms: DataFrame, p: DataFrame, shots: DataFrame, steps: int =
             F.sum(F.col("p") * (F.col("k") * F.col("w") / x - F.col("w"))).alias("s"), F.sum(F.col("p") * F.col("k") * F.col("w") * F.col("w") / (x * x)).alias("c"))
         up = F.col("s") > 0
         both = state.join(sums, "shot", "left").withColumns({"a": F.when(up, F.col("phi")).otherwise(F.col("lo")), "z": F.when(up, F.col("hi")).otherwise(F.col("phi"))})
-        newton = F.col("phi") + F.try_divide("s", "c")
-        new = F.when((newton > F.col("a")) & (newton < F.col("z")), newton).otherwise(F.sqrt(F.col("a") * F.col("z")))
+        newton = F.col("phi") + F.try_divide("s", "c")  # may be an end of the bracket: a scale that has settled to the last digit
+        new = F.when(newton.between(F.col("a"), F.col("z")), newton).otherwise(F.sqrt(F.col("a") * F.col("z")))
         both = both.withColumn("new", F.when(F.col("live"), new).otherwise(F.col("phi")))
         moved = F.abs(F.col("new") - F.col("phi")) > tolerance * F.col("phi")
         state = cut(both.select("shot", F.col("new").alias("phi"), F.col("a").alias("lo"), F.col("z").alias("hi"), (F.col("live") & moved).alias("live")))
