@@ -377,3 +377,30 @@ def test_reconstruction_raises_the_likelihood_and_finds_orientations(spark, meth
     if method != "analytical":
         assert all(h["after"] >= h["functional"] for h in history) and history[-1]["functional"] > history[0]["functional"]
     assert out.count() == 512 and out.agg(F.min("w")).first()[0] >= 0
+
+
+def test_ranks_and_medians_do_not_hang_on_partitions(spark):
+    from voxelweave.operators import order
+
+    rng = np.random.default_rng(8)
+    values = [None, *rng.integers(0, 40, 301).tolist()]
+    want = sorted(v for v in values if v is not None)
+    for parts in (1, 7):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int").orderBy(F.rand(parts)).repartition(parts)
+        assert order.median(df, "v") == np.median(want)
+        found, n = order.spans(df, "v")
+        assert n == 301 and {r["value"]: (r["first"], r["last"]) for r in found.collect()} == {v: (want.index(v), len(want) - 1 - want[::-1].index(v)) for v in want}
+        assert {r.i: r.place for r in order.ranked(df.select("i"), ["i"]).collect()} == {i: i for i in range(302)}
+    assert order.median(df.limit(0), "v") is None and order.ranked(df.limit(0), ["i"]).collect() == []
+
+
+def test_rotation_grid_in_tasks_is_the_grid(spark):
+    rows = rotations.rotation_grid(spark, 4).orderBy("r").collect()
+    want = rotations.quaternion_grid(4)
+    assert [r.r for r in rows] == list(range(len(want))) and np.array([tuple(r)[1:] for r in rows]) == pytest.approx(want)
+
+
+def test_a_start_density_is_normalized(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 0.0), (3, 0.25)], "vox int, w double")
+    assert sorted(map(tuple, g.normalized_start(df, 3.0).collect())) == [(1, 3.0), (2, 0.0), (3, 1.5)]
+    assert [tuple(r) for r in g.normalized_start(df.filter("w = 0"), 3.0).collect()] == [(2, 0.0)] and g.normalized_start(df.limit(0), 3.0).collect() == []

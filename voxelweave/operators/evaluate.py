@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.operators.order import median, middle, ranked, spans, values_at
+from voxelweave.session import cut
+
 
 def pearson(pairs: DataFrame) -> DataFrame:
     """One row (n, cc) of pairs (i1, i2)."""
@@ -13,18 +16,8 @@ def pearson(pairs: DataFrame) -> DataFrame:
 
 def average_ranks(pairs: DataFrame, col: str, name: str) -> DataFrame:
     """``pairs`` with the rank of ``col``, equal values sharing their mean rank. Values are counted first, so the running sum is over distinct values by ranges, never over all rows in one task."""
-    spark = pairs.sparkSession
-    counts = pairs.groupBy(col).agg(F.count("*").alias("n")).repartitionByRange(col).withColumn("part", F.spark_partition_id())
-    sums = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.sum("n").alias("n"), F.min(col)).collect()}
-    before, total = [], 0
-    for part in sorted(sums):
-        before.append((part, total))
-        total += sums[part]
-    offsets = spark.createDataFrame(before or [(0, 0)], "part int, before long")
-    within = F.sum("n").over(Window.partitionBy("part").orderBy(col))
-    ranks = counts.withColumn("upto", within).join(F.broadcast(offsets), "part")
-    ranks = ranks.select(col, (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2.0).alias(name))
-    return pairs.join(ranks, col)
+    found, _ = spans(pairs, col)
+    return pairs.join(found.select(F.col("value").alias(col), ((F.col("first") + F.col("last")) / 2.0 + 1).alias(name)), col)
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
@@ -40,32 +33,23 @@ def by_shell(pairs: DataFrame, n_shells: int) -> DataFrame:
     number is left out, as are shells of fewer than two rows. The starts are single order statistics, found from counts of distinct values.
     """
     spark = pairs.sparkSession
-    total = pairs.count()
+    pairs = cut(pairs.select("i1", "i2", "d"))  # read several times
+    found, total = spans(pairs, "d")
     if not total:
         return spark.createDataFrame([], "shell int, n long, d double, cc double")
     size, more = divmod(total, n_shells)
-    places = [k * size + min(k, more) for k in range(n_shells)]
-    places = [min(p, total - 1) for p in places]
-    counts = pairs.groupBy("d").agg(F.count("*").alias("n")).repartitionByRange("d").withColumn("part", F.spark_partition_id())
-    sums = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.sum("n").alias("n"), F.min("d")).collect()}
-    before, upto = [], 0
-    for part in sorted(sums):
-        before.append((part, upto))
-        upto += sums[part]
-    offsets = spark.createDataFrame(before, "part int, before long")
-    last = F.sum("n").over(Window.partitionBy("part").orderBy("d"))
-    spans = counts.withColumn("last", last).join(F.broadcast(offsets), "part").select("d", (F.col("before") + F.col("last") - F.col("n")).alias("first"), (F.col("before") + F.col("last") - 1).alias("last"))
-    wanted = spark.createDataFrame([(k, p) for k, p in enumerate(places)], "k int, place long")
-    found = {r["k"]: r["d"] for r in spans.join(F.broadcast(wanted), F.col("place").between(F.col("first"), F.col("last"))).select("k", "d").collect()}  # n_shells rows
+    at = values_at(found, [min(k * size + min(k, more), total - 1) for k in range(n_shells)] + [total - 1])  # n_shells + 1 rows
+    edges = sorted(v for v in (at[min(k * size + min(k, more), total - 1)] for k in range(n_shells))) + [at[total - 1]]  # (d, its first place); the last one ends the last shell and belongs to none
     shell = F.lit(0)
-    for k in range(n_shells):
-        shell = shell + F.when(F.col("d") >= found[k], 1).otherwise(0)
-    # the end of the last shell belongs to no shell
-    top = pairs.agg(F.max("d")).first()[0]
-    shell = shell + F.when(F.col("d") >= top, 1).otherwise(0)
+    for d, _ in edges:
+        shell = shell + F.when(F.col("d") >= d, 1).otherwise(0)
     labelled = pairs.withColumn("shell", shell.cast("int")).filter(F.col("shell").between(1, n_shells - 1))
-    out = labelled.groupBy("shell").agg(F.count("*").alias("n"), F.median("d").alias("d"), F.corr("i1", "i2").alias("cc"))
-    return out.filter("n >= 2")
+    out = labelled.groupBy("shell").agg(F.count("*").alias("n"), F.corr("i1", "i2").alias("cc")).filter("n >= 2")
+    # a shell's rows stand at the places between its edge and the next one of another value
+    middles = {k: middle(edges[k - 1][1], edges[k][1] - edges[k - 1][1]) for k in range(1, n_shells) if edges[k][1] > edges[k - 1][1]}
+    at = values_at(found, [p for m in middles.values() for p in m])
+    medians = spark.createDataFrame([(k, 0.5 * at[a][0] + 0.5 * at[b][0]) for k, (a, b) in middles.items()], "shell int, d double")
+    return out.join(F.broadcast(medians), "shell").select("shell", "n", "d", "cc")
 
 
 def without_repeats(refl: DataFrame) -> DataFrame:
@@ -90,10 +74,8 @@ def within_resolution(refl: DataFrame, max_q: float, least: int = 3) -> DataFram
 
 def renumbered(refl: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """(.., new_id): shots (in ``keep``, if given) with reflections left, numbered from 0 in order. Only the distinct shots are ranked."""
-    from voxelweave.operators.grid import sparse_rank
-
     left = refl if keep is None else refl.join(keep.select("shot").distinct(), "shot", "left_semi")
-    ids = sparse_rank(left.select(F.col("shot").alias("vox")).distinct()).select(F.col("vox").alias("shot"), F.col("place").alias("new_id"))
+    ids = ranked(left.select("shot").distinct(), ["shot"], "new_id")
     return left.join(ids, "shot")
 
 
@@ -107,4 +89,5 @@ def significance_ladder(refl: DataFrame, steps: int = 6) -> DataFrame:
 
 def median_offset(refl: DataFrame) -> DataFrame:
     """One row (n, offset): the median distance of observed from calculated positions."""
-    return refl.agg(F.count("*").alias("n"), F.median(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("offset"))
+    size = refl.select(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("size"))
+    return refl.agg(F.count("*").alias("n")).withColumn("offset", F.lit(median(size, "size")).cast("double"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.config import Cell, Grid, symmetry_matrices
 from voxelweave.functions.scalars import errdiv, matrix_columns, round_half_down, times_vector
+from voxelweave.operators.order import ranked
 
 QS = ("qx", "qy", "qz")
 #: Rotations (of some hundred bytes each) that are broadcast.
@@ -133,21 +134,8 @@ def symmetrize(voxels: DataFrame, symops: DataFrame, grid: Grid) -> DataFrame:
 
 
 def sparse_rank(voxels: DataFrame) -> DataFrame:
-    """(vox, place): the rank of each voxel by index, from 0, without one task for all: ranks within ranges, plus the counts of ranges before."""
-    spark = voxels.sparkSession
-    from pyspark.sql import Window
-
-    ranged = voxels.select("vox").repartitionByRange("vox").withColumn("part", F.spark_partition_id())
-    counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("vox")).collect()}
-    total, before = 0, []
-    for part in sorted(counts):
-        before.append((part, total))
-        total += counts[part]
-    if not before:
-        return voxels.select("vox", F.lit(0).cast("long").alias("place"))
-    offsets = spark.createDataFrame(before, "part int, before long")
-    within = F.row_number().over(Window.partitionBy("part").orderBy("vox")) - 1
-    return ranged.withColumn("within", within).join(F.broadcast(offsets), "part").select("vox", (F.col("within") + F.col("before")).cast("long").alias("place"))
+    """(vox, place): the rank of each voxel by index, from 0, without one task for all."""
+    return ranked(voxels.select("vox"), ["vox"])
 
 
 def update_masked(voxels: DataFrame, new: DataFrame) -> DataFrame:
@@ -247,6 +235,12 @@ def start_density(voxels: DataFrame, cell: Cell, grid: Grid, domains: float = 20
     return c.select("vox", F.exp(-total * 2 / 0.63).alias("w"))
 
 
+def normalized_start(density: DataFrame, signal: float) -> DataFrame:
+    """(vox, w): a start density scaled to a maximum of one and then to the average signal level. A density without a positive value stays as it is."""
+    top = density.agg(F.max("w").alias("top"))
+    return density.join(F.broadcast(top)).select("vox", F.when(F.col("top") > 0, F.col("w") / F.col("top") * signal).otherwise(F.col("w")).alias("w"))  # one row
+
+
 def paint_peaks(peaks: DataFrame, grid: Grid, reach: int, sigma: float) -> DataFrame:
     """(vox, w): for each peak (ix, iy, iz, f) a Gaussian f² exp(-r² / 2 sigma²) in the box of ``reach`` voxels, summed; boxes that leave the grid are left out."""
     n, side = grid.n, range(-reach, reach + 1)

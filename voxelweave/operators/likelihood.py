@@ -14,8 +14,11 @@ from voxelweave.functions.scalars import EPSILON
 from voxelweave.operators.grid import QS, corners, interpolate, rotated
 
 
-def model_values(pixels: DataFrame, rotations: DataFrame, voxels: DataFrame, grid: Grid) -> DataFrame:
-    """(r, t, w): the density at each trusted pixel that is in bounds under each rotation. Worked out once for a rotation, whatever number of shots takes it."""
+def model_values(pixels: DataFrame, rotations: DataFrame, voxels: DataFrame, grid: Grid, prob_rot: DataFrame | None = None) -> DataFrame:
+    """(r, t, w): the density at each trusted pixel that is in bounds under each rotation; of those in ``prob_rot`` (.., r) only, if that is given, since no other is asked for.
+    Worked out once for a rotation, whatever number of shots takes it."""
+    if prob_rot is not None:
+        rotations = rotations.join(prob_rot.select("r").distinct(), "r", "left_semi")
     trusted = pixels.filter("trusted").select("t", *QS)
     return interpolate(rotated(trusted, rotations), voxels, grid, ["r", "t"])
 

@@ -45,19 +45,19 @@ def relaxed_cut(resid: DataFrame, cut: float, step: float, least: int, more_than
     """(shot, cut, n_rot): the first of cut, cut + step, ... at which a shot has more than ``more_than`` probable rotations.
 
     A rotation becomes probable at its ``least``-th smallest residual, so the number of steps of every rotation is known at once, and the shot's is
-    that of its (more_than + 1)-th rotation: two aggregates instead of a search for every step. Shots with too few rotations are left out.
+    that of its (more_than + 1)-th rotation. Spots are counted by rotation and step, then rotations by shot and step, so only partial counts leave the pairing
+    and windows run over steps, not over spots. Shots with too few rotations are left out.
     """
     from pyspark.sql import Window
 
-    by_rot = Window.partitionBy("shot", "r").orderBy("residual")
-    turn = resid.withColumn("place", F.row_number().over(by_rot)).filter(F.col("place") == least)
     # residual < cut + s step; the comparison is strict
     steps = F.greatest(F.floor((F.col("residual") - cut) / step).cast("int") + 1, F.lit(0))
-    turn = turn.select("shot", "r", steps.alias("steps"))
-    by_shot = Window.partitionBy("shot").orderBy("steps")
-    need = turn.withColumn("place", F.row_number().over(by_shot)).filter(F.col("place") == more_than + 1).select("shot", F.col("steps").alias("need"))
-    n = turn.join(need, "shot").filter("steps <= need").groupBy("shot", "need").agg(F.count("*").alias("n_rot"))
-    return n.select("shot", (F.lit(cut) + F.col("need") * step).alias("cut"), "n_rot")
+    upto = lambda *by: F.sum("n").over(Window.partitionBy(*by).orderBy("steps"))
+    spots = resid.groupBy("shot", "r", steps.alias("steps")).agg(F.count("*").alias("n")).withColumn("upto", upto("shot", "r"))
+    turn = spots.filter(F.col("upto") >= least).groupBy("shot", "r").agg(F.min("steps").alias("steps"))
+    rots = turn.groupBy("shot", "steps").agg(F.count("*").alias("n")).withColumn("upto", upto("shot"))
+    need = rots.filter(F.col("upto") > more_than).groupBy("shot").agg(F.min(F.struct("steps", "upto")).alias("need"))
+    return need.select("shot", (F.lit(cut) + F.col("need.steps") * step).alias("cut"), F.col("need.upto").alias("n_rot"))
 
 
 def tightened_least(resid: DataFrame, cut: float, least: int, most_rotations: int) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,51 +38,85 @@ def vertices() -> np.ndarray:
 
 
 @lru_cache(4)
-def tetrahedra() -> np.ndarray:
-    """The 600 cells, as numbers of vertices."""
+def simplices() -> tuple[np.ndarray, ...]:
+    """Vertices, edges, faces and cells of the 600-cell as numbers of vertices, one of each pair of opposites: 60, 360, 600 and 300 rows."""
     v = vertices()
-    near = (v @ v.T > 0.8) & ~np.eye(120, dtype=bool)  # neighbours are 36 degrees apart
-    cells = []
-    for a in range(120):
-        na = np.flatnonzero(near[a] & (np.arange(120) > a))
-        for b in na:
-            nb = na[near[b][na] & (na > b)]
-            for c in nb:
-                cells += [(a, int(b), int(c), int(d)) for d in nb[near[c][nb] & (nb > c)]]
-    return np.array(cells)
+    near = v @ v.T > 0.8  # neighbours are 36 degrees apart
+    opposite = (v @ v.T).argmin(axis=1)
+    kinds = [np.arange(len(v))[:, None]]
+    for _ in range(3):  # add a vertex of a higher number that is a neighbour of all
+        last = kinds[-1]
+        common = near[last].all(axis=1) & (np.arange(len(v)) > last[:, -1:])
+        row, new = np.nonzero(common)
+        kinds.append(np.concatenate((last[row], new[:, None]), axis=1))
+    out = []
+    for rows in kinds:
+        other = np.sort(opposite[rows], axis=1)
+        # of two opposites, the one that is first in the order of numbers
+        at = (rows != other).argmax(axis=1)
+        i = np.arange(len(rows))
+        out.append(rows[rows[i, at] < other[i, at]])
+    return tuple(out)
+
+
+def inner_parts(n: int, k: int) -> np.ndarray:
+    """All ways to write ``n`` as a sum of ``k`` positive numbers, in order."""
+    if k == 1:
+        return np.full((1, 1), n)
+    cuts = np.array(list(itertools.combinations(range(1, n), k - 1)), int).reshape(-1, k - 1)
+    ends = np.concatenate((np.zeros((len(cuts), 1), int), cuts, np.full((len(cuts), 1), n)), axis=1)
+    return np.diff(ends, axis=1)
+
+
+def inner_points(members: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(quaternions, weights) of the points inside of simplices of one kind (rows of ``members``), simplex by simplex; weights are not normalised.
+
+    A point's weight is its kind's share times its distance from the origin before it is normalised, to the minus fourth power: the density of the projection.
+    """
+    k = members.shape[1]
+    flat = np.einsum("pk,skc->spc", inner_parts(n, k) / n, vertices()[members]).reshape(-1, 4)
+    square = np.einsum("pc,pc->p", flat, flat)
+    q = flat / np.sqrt(square)[:, None]
+    first = np.take_along_axis(q, (np.abs(q) > 1e-9).argmax(axis=1)[:, None], axis=1)
+    return np.where(first < 0, -q, q), {1: VERTEX_SHARE, 2: EDGE_SHARE}.get(k, 1.0) / (square * square)
+
+
+def total_weight(n: int) -> float:
+    """The sum of weights over a grid: all simplices of a kind are alike, so one of each is worked out."""
+    return float(sum(len(rows) * inner_points(rows[:1], n)[1].sum() for rows in simplices()))
 
 
 def quaternion_grid(n: int) -> np.ndarray:
-    """(rotations, 5): unit quaternions, scalar first and one of each pair of opposites, and weights of sum 1.
+    """(rotations, 5): unit quaternions, scalar first and one of each pair of opposites (the first part that is not zero is positive), and weights of sum 1.
 
-    Points of the cells are combinations of their vertices by multiples of 1 / n. Points shared by cells are told apart by their
-    numerators, which are exact. A point's weight is its kind's share times its distance from the origin before it is
-    normalised, to the minus fourth power: the density of the projection.
+    Points of the cells are combinations of their vertices by multiples of 1 / n. A point belongs to the one vertex, edge, face or cell that it is inside of, so none comes twice.
     """
-    v, found = vertices(), {}
-    parts = [p for p in itertools.product(range(n + 1), repeat=4) if sum(p) == n]
-    for cell in tetrahedra():
-        for p in parts:
-            key = tuple(sorted((int(c), k) for c, k in zip(cell, p) if k))
-            found.setdefault(key, len(key))
-    keys = list(found)
-    flat = np.array([sum(v[c] * k for c, k in key) / n for key in keys])
-    share = np.array([{1: VERTEX_SHARE, 2: EDGE_SHARE}.get(len(k), 1.0) for k in keys])
-    length = np.linalg.norm(flat, axis=1)
-    q = flat / length[:, None]
-    sign = np.array([next(x for x in row if abs(x) > 1e-9) for row in q])
-    half = sign > 0
-    weight = (share / length ** 4)[half]
-    return np.concatenate([q[half], (weight / weight.sum())[:, None]], axis=1)
+    parts = [np.concatenate((q, w[:, None]), axis=1) for q, w in (inner_points(rows, n) for rows in simplices())]
+    out = np.concatenate(parts)
+    out[:, 4] /= out[:, 4].sum()
+    return out
 
 
 QUATERNION_SCHEMA = "r int, q0 double, q1 double, q2 double, q3 double, weight double"
 
 
 def rotation_grid(spark: SparkSession, n: int) -> DataFrame:
-    """(r, q0..q3, weight) of a grid, q0 the scalar."""
-    rows = quaternion_grid(n)
-    return spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(rows)], QUATERNION_SCHEMA)
+    """(r, q0..q3, weight) of a grid, q0 the scalar. The 1320 simplices are dealt out and each makes its points where it is, so no list of rotations is ever on the driver."""
+    starts, total, first = [], total_weight(n), 0
+    for kind, rows in enumerate(simplices()):
+        size = comb(n - 1, kind)
+        starts += [(kind, at, first + at * size) for at in range(len(rows) if size else 0)]
+        first += len(rows) * size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, w = inner_points(simplices()[row["kind"]][row["at"]:row["at"] + 1], n)
+                r = np.arange(row["first"], row["first"] + len(q))
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), *(pa.array(q[:, k]) for k in range(4)), pa.array(w / total)], ["r", "q0", "q1", "q2", "q3", "weight"])
+
+    tasks = max(1, min(len(starts), grid_size(n) // 100_000))
+    return spark.createDataFrame(starts, "kind int, at int, first long").repartition(tasks).mapInArrow(run, QUATERNION_SCHEMA)
 
 
 def matrices(quaternions: DataFrame) -> DataFrame:

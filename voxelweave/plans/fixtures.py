@@ -152,7 +152,9 @@ def model(spark: SparkSession, sf: str) -> DataFrame:
 def terms(spark: SparkSession, sf: str) -> DataFrame:
     from voxelweave.operators import likelihood
 
-    return likelihood.pixel_terms(model(spark, sf), shot_px(spark, sf), shot(spark, sf), prob_rot(spark, sf))
+    probable = prob_rot(spark, sf)
+    values = likelihood.model_values(pixel(spark, sf), rotation(spark), voxel(spark, sf), GRID, probable)
+    return likelihood.pixel_terms(values, shot_px(spark, sf), shot(spark, sf), probable)
 
 
 def pdr(spark: SparkSession, sf: str) -> DataFrame:

@@ -133,6 +133,15 @@ def w_init(spark, sf):
     return rounded(g.start_density(f.voxel(spark, sf), CELL, GRID), "w")
 
 
+#: Average signal level that the fixtures' start density is scaled to.
+_SIGNAL = 3.25
+
+
+@query("w_init_normalized", f"SELECT vox, {o.r6(f'w / max(w) OVER () * {_SIGNAL!r}', 'w')} FROM (SELECT vox, exp(-({_MISS}) * 2 / 0.63) AS w FROM (SELECT vox, {', '.join(f'{e} AS h{k}' for k, e in enumerate(_FRAC))} FROM {_CENTRES}))")
+def w_init_normalized(spark, sf):
+    return rounded(g.normalized_start(g.start_density(f.voxel(spark, sf), CELL, GRID), _SIGNAL), "w")
+
+
 @query("hkl_max", "SELECT " + ", ".join(f"CAST({m} AS INTEGER) AS {n}" for m, n in zip(g.hkl_limits(CELL, GRID.max_q), ("max_h", "max_k", "max_l"))))
 def hkl_max(spark, sf):
     rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({a}D, {b}D, {c}D)" for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)) + " AS t(sx, sy, sz)")
@@ -185,6 +194,28 @@ def quat_grid_count(spark, sf):
     return out
 
 
+_V4 = ", ".join(f"({k}, {', '.join(map(o._number, map(float, v)))})" for k, v in enumerate(rotations.vertices()))
+_DOT = "x.a * y.a + x.b * y.b + x.c * y.c + x.d * y.d > 0.8"
+_SUM = lambda *w: ", ".join(" + ".join(f"{k} * {t}.{c}" for k, t in zip(w, "xyz")) + f" AS {c}" for c in "abcd")
+
+
+@query("quat_grid_weights", f"""WITH v AS (SELECT * FROM (VALUES {_V4}) t(i, a, b, c, d)), near AS (SELECT x.i AS i, y.i AS j FROM v x JOIN v y ON x.i <> y.i AND {_DOT}),
+pts AS (SELECT a, b, c, d, 5 / 6 AS share FROM v
+  UNION ALL SELECT {_SUM('(2 / 3)', '(1 / 3)')}, 35 / 36 FROM near JOIN v x ON x.i = near.i JOIN v y ON y.i = near.j
+  UNION ALL SELECT {_SUM('(1 / 3)', '(1 / 3)', '(1 / 3)')}, 1 FROM near m JOIN near n ON m.j = n.i AND m.i < m.j AND n.i < n.j JOIN near e ON e.i = m.i AND e.j = n.j JOIN v x ON x.i = m.i JOIN v y ON y.i = m.j JOIN v z ON z.i = n.j),
+sized AS (SELECT *, a * a + b * b + c * c + d * d AS s FROM pts WHERE CASE WHEN abs(a) > 1e-9 THEN a WHEN abs(b) > 1e-9 THEN b WHEN abs(c) > 1e-9 THEN c ELSE d END > 0)
+SELECT {', '.join(o.r6(f'{c} / sqrt(s)', f'q{k}') for k, c in enumerate('abcd'))}, round(share / (s * s) / sum(share / (s * s)) OVER (), 9) AS weight FROM sized""")
+def quat_grid_weights(spark, sf):
+    """Every rotation of the grid of 3 subdivisions and its weight."""
+    return rounded(rotations.rotation_grid(spark, 3).drop("r"), "q0", "q1", "q2", "q3").withColumn("weight", F.round("weight", 9))
+
+
+@query("quat_grid_20")
+def quat_grid_20(spark, sf):
+    """The grid of 20 subdivisions, 400,200 rotations."""
+    return rotations.rotation_grid(spark, 20)
+
+
 @query("quat_ico_reduce", "SELECT CAST(n AS INTEGER) AS n, CAST(10 * (5 * n * n * n + n) / 60 AS BIGINT) AS n_rot, CAST(1.0 AS DOUBLE) AS weight FROM range(5, 7) t(n)")
 def quat_ico_reduce(spark, sf):
     out = None
@@ -463,6 +494,24 @@ def scale_normalize(spark, sf):
     return rounded(update.normalized_scales(f.shot(spark, sf), 25.0), "phi")
 
 
+@query("dens_deriv_packed")
+def dens_deriv_packed(spark, sf):
+    """The same by the packed kernel, of which the density steps take their gradients."""
+    v = f.voxel(spark, sf)
+    # every voxel of the grid has a place, so that gradients of those without density show
+    scene = reconstruct.Scene.collect(f.pixel(spark, sf), f.rotation(spark), spark.range(N ** 3).select(F.col("id").cast("int").alias("vox")), GRID)
+    density = reconstruct.to_density(scene, v)
+    packed = reconstruct.packed_shots(f.shot_px(spark, sf), f.shot(spark, sf), f.prob_rot(spark, sf))
+    p = ll.probabilities(reconstruct.packed_log_likelihood(packed, scene, density), f.BETA, f.MIN_P)
+    _, gradient = reconstruct.packed_objective(packed, p, scene, density, 0.0)
+    touched = f.terms(spark, sf).select("r", "t").distinct()
+    near = g.corners(g.rotated(f.pixel(spark, sf).filter("trusted").select("t", *g.QS), f.rotation(spark)).join(touched, ["r", "t"], "left_semi"), GRID).select("vox").distinct()
+    return rounded(reconstruct.to_voxels(spark, scene, gradient).join(near, "vox", "left_semi").withColumnRenamed("w", "g"), "g")
+
+
+ORACLE["dens_deriv_packed"] = ORACLE["dens_deriv"]
+
+
 @query("scale_convergence", f"SELECT round(avg(abs(a.phi - s.phi) / s.phi), 6) + 0.0 AS mean_change, count(*) FILTER (WHERE abs(a.phi - s.phi) / s.phi > 0.01) AS n_above, count(*) FILTER (WHERE abs(a.phi - s.phi) / s.phi > 0.01) = 0 AS converged FROM ({_SCALES}) a JOIN shots s USING (shot)")
 def scale_convergence(spark, sf):
     return rounded(update.scale_changes(_new_scales(spark, sf), f.shot(spark, sf)), "mean_change")
@@ -478,7 +527,16 @@ def scale_limits(spark, sf):
     return update.scales_at_limits(f.shot(spark, sf), 0.5, 1.25)
 
 
-@query("scale_bfgs")
+_SLOPE = "sum(p * (k * w / (greatest(b + ({x}) * w, 0) + 1e-6) - w))"
+
+
+@query("scale_bfgs", f"""SELECT s.shot, {o.r6("CASE WHEN coalesce(pw, 0) <= 0 THEN s.phi WHEN at_low <= 0 THEN 1e-6 WHEN at_high >= 0 THEN 1e6 ELSE sqrt(lo * hi) END", "phi")} FROM shots s
+LEFT JOIN (SELECT shot, sum(p * w) AS pw, {_SLOPE.format(x='1e-6')} AS at_low, {_SLOPE.format(x='1e6')} AS at_high FROM terms JOIN pdr USING (shot, r) WHERE p > 0 GROUP BY shot) e ON e.shot = s.shot
+LEFT JOIN (WITH RECURSIVE few AS MATERIALIZED (SELECT shot, k, b, w, p FROM terms JOIN pdr USING (shot, r) WHERE p > 0),
+  half AS (SELECT shot, CAST(1e-6 AS DOUBLE) AS lo, CAST(1e6 AS DOUBLE) AS hi, 0 AS n FROM (SELECT DISTINCT shot FROM few)
+    UNION ALL SELECT shot, CASE WHEN slope > 0 THEN mid ELSE lo END, CASE WHEN slope > 0 THEN hi ELSE mid END, n + 1
+    FROM (SELECT shot, lo, hi, n, sqrt(lo * hi) AS mid, {_SLOPE.format(x='sqrt(lo * hi)')} AS slope FROM half JOIN few USING (shot) WHERE n < 60 GROUP BY shot, lo, hi, n))
+  SELECT shot, lo, hi FROM half WHERE n = 60) r ON r.shot = s.shot""")
 def scale_bfgs(spark, sf):
     t = f.terms(spark, sf)
     return rounded(update.fitted_scales(t, ll.probabilities(ll.log_likelihood(t), f.BETA, f.MIN_P), f.shot(spark, sf)), "phi")

@@ -8,7 +8,8 @@ shots is not bounded: shots are only ever streamed, and gradients are summed by
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ from voxelweave.operators import likelihood, update
 from voxelweave.session import cut
 
 
+#: Pixels of the shots that a task holds as arrays at once (one shot at least).
+PIXELS_HELD = 20_000_000
+
+
 @dataclass
 class Scene:
     """What every kernel needs: pixels and rotations as arrays, the packed mask as voxel -> place or -1."""
@@ -32,22 +37,38 @@ class Scene:
     rotations: dict
     places: np.ndarray
     n: int
+    _sent: object = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_sent": None}
+
+    def sent(self, spark):
+        """The broadcast of this scene: one for all kernels that take it."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(self)
+        return self._sent
+
+    def forget(self) -> None:
+        if self._sent is not None:
+            self._sent.destroy()
+            self._sent = None
 
     @staticmethod
-    def collect(pixels: DataFrame, rotations: DataFrame, mask: DataFrame, grid: Grid, max_pixels: int = 20_000_000, max_rotations: int = 20_000_000, max_voxels: int = 1 << 28) -> Scene:
-        """Raises if a side is over its bound; nothing is cut."""
-        for what, df, most in (("pixels", pixels, max_pixels), ("rotations", rotations, max_rotations)):
-            if df.count() > most:
-                raise ValueError(f"more than {most} {what} to broadcast")
-        if grid.n ** 3 > max_voxels:
-            raise ValueError(f"a grid of {grid.n} a side is over {max_voxels} voxels")
-        px = pixels.filter("trusted").select("t", *g.QS).orderBy("t").collect()
-        rot = rotations.collect()
-        vox = np.array(sorted(r["vox"] for r in mask.select("vox").distinct().collect()), np.int64)
+    def collect(pixels: DataFrame, rotations: DataFrame, mask: DataFrame, grid: Grid, max_bytes: int = 1 << 30) -> Scene:
+        """Raises if pixels, rotations or the grid's places are over ``max_bytes`` as arrays; nothing is cut. They come to the driver as Arrow columns, never as rows."""
+        trusted = pixels.filter("trusted").select("t", *g.QS)
+        for what, rows, size in (("pixels", trusted.count(), 32), ("rotations", rotations.count(), 80), ("voxels", grid.n ** 3, 8)):
+            if rows * size > max_bytes:
+                raise ValueError(f"{rows} {what} are over {max_bytes} bytes")
+        px, rot = trusted.toArrow(), rotations.select("r", *(f"m{i}{j}" for i in range(3) for j in range(3))).toArrow()
+        columns = lambda t, names: np.stack([t.column(c).to_numpy() for c in names], 1).reshape(-1, len(names))
+        t = px.column("t").to_numpy()
+        order = np.argsort(t, kind="stable")
+        vox = np.unique(mask.select("vox").toArrow().column("vox").to_numpy()).astype(np.int64)
         places = np.full(grid.n ** 3, -1, np.int64)
         places[vox] = np.arange(len(vox))
-        return Scene(grid, np.array([r["t"] for r in px]), np.array([[r[c] for c in g.QS] for r in px]).reshape(-1, 3),
-                     {r["r"]: np.array([[r[f"m{i}{j}"] for j in range(3)] for i in range(3)]) for r in rot}, places, len(vox))
+        mats = columns(rot, rot.column_names[1:]).reshape(-1, 3, 3)
+        return Scene(grid, t[order], columns(px, g.QS)[order], dict(zip(rot.column("r").to_pylist(), mats)), places, len(vox))
 
     def weights(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pixels in bounds, their eight packed voxels or -1, trilinear weights)."""
@@ -82,62 +103,93 @@ def _on_scene(scene: Scene, t: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_rotation(scene: Scene, batches: Iterator[pa.RecordBatch], wanted: str) -> Iterator[tuple]:
+    """(rotation, pixels in bounds, voxels, weights, [(shot, phi, k, b, value)]): shots in slices of at most PIXELS_HELD pixels, each rotation of a slice worked out once for all its shots.
+
+    ``wanted`` is a column of lists of rotations, or of (r, p) with p as the value.
+    """
+    for batch in batches:
+        many = batch.column("t").value_lengths().to_numpy(zero_copy_only=False) + len(scene.t)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, start + int(np.searchsorted(np.cumsum(many[start:]), PIXELS_HELD, side="right")))
+            by: dict[int, list] = {}
+            for i in range(start, stop):
+                t, k, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("t", "k", "b"))
+                shot = batch.column("shot")[i].as_py(), batch.column("phi")[i].as_py(), _on_scene(scene, t, k.astype(float)), _on_scene(scene, t, b.astype(float))
+                for r in batch.column(wanted)[i].as_py():
+                    r, value = (r["r"], r["p"]) if isinstance(r, dict) else (r, None)
+                    by.setdefault(r, []).append((*shot, value))
+            for r, shots in by.items():
+                yield r, *scene.weights(r), shots
+            start = stop
+
+
 def packed_log_likelihood(packed: DataFrame, scene: Scene, density: np.ndarray) -> DataFrame:
     """(shot, r, logr) by the kernel; agrees with the relational form."""
     spark = packed.sparkSession
-    shared, w = spark.sparkContext.broadcast(scene), spark.sparkContext.broadcast(density)
+    shared, w = scene.sent(spark), spark.sparkContext.broadcast(density)
 
     def run(batches):
         s, values = shared.value, np.append(w.value, 0.0)
-        for batch in batches:
-            shot, rot, logr = [], [], []
-            for row in batch.to_pylist():
-                t = np.array(row["t"])
-                k, b = _on_scene(s, t, np.array(row["k"], float)), _on_scene(s, t, np.array(row["b"], float))
-                for r in row["rots"]:
-                    ok, vox, a = s.weights(r)
-                    m = b[ok] + row["phi"] * (values[vox] * a).sum(axis=1)
-                    use = m > -EPSILON  # false for NaN
-                    shot.append(row["shot"])
-                    rot.append(r)
-                    logr.append(float((k[ok][use] * np.log(m[use] + EPSILON) - m[use]).sum()))
-            yield pa.RecordBatch.from_pydict({"shot": pa.array(shot, pa.int32()), "r": pa.array(rot, pa.int32()), "logr": pa.array(logr, pa.float64())})
+        out = ([], [], [])
+        for r, ok, vox, a, shots in _by_rotation(s, batches, "rots"):
+            own = (values[vox] * a).sum(axis=1)
+            for shot, phi, k, b, _ in shots:
+                m = b[ok] + phi * own
+                use = m > -EPSILON  # false for NaN
+                for column, x in zip(out, (shot, r, float((k[ok][use] * np.log(m[use] + EPSILON) - m[use]).sum()))):
+                    column.append(x)
+            if len(out[0]) > 10_000:
+                yield _scores(out)
+                out = ([], [], [])
+        yield _scores(out)
 
     return packed.mapInArrow(run, "shot int, r int, logr double")
 
 
+def _scores(out: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.float64()))], ["shot", "r", "logr"])
+
+
 def packed_objective(packed: DataFrame, p: DataFrame, scene: Scene, density: np.ndarray, least: float = 1e-5) -> tuple[float, np.ndarray]:
     """(sum of p logr, its gradient by the packed density). Each task sends one sum; Spark adds them by place, so the driver gets one number for each voxel."""
-    spark = packed.sparkSession
-    shared, w = spark.sparkContext.broadcast(scene), spark.sparkContext.broadcast(density)
+    return chosen_objective(with_chosen(packed, p, least), scene, density)
+
+
+def with_chosen(packed: DataFrame, p: DataFrame, least: float = 1e-5) -> DataFrame:
+    """(shot, phi, t, k, b, chosen): packed shots with the rotations, and their probabilities, that count."""
     chosen = p.filter(F.col("p") >= least).groupBy("shot").agg(F.collect_list(F.struct("r", "p")).alias("chosen"))
+    return packed.drop("rots").join(chosen, "shot")
+
+
+def chosen_objective(chosen: DataFrame, scene: Scene, density: np.ndarray) -> tuple[float, np.ndarray]:
+    """As ``packed_objective``, of what ``with_chosen`` gives: a scan and a sum by place, for many evaluations of one set of probabilities."""
+    spark = chosen.sparkSession
+    shared, w = scene.sent(spark), spark.sparkContext.broadcast(density)
 
     def run(batches):
         s, values = shared.value, np.append(w.value, 0.0)
         total, grad = 0.0, np.zeros(s.n + 1)
-        for batch in batches:
-            for row in batch.to_pylist():
-                t = np.array(row["t"])
-                k, b = _on_scene(s, t, np.array(row["k"], float)), _on_scene(s, t, np.array(row["b"], float))
-                for c in row["chosen"]:
-                    ok, vox, a = s.weights(c["r"])
-                    m = b[ok] + row["phi"] * (values[vox] * a).sum(axis=1)
-                    use = m > -EPSILON
-                    kk, mm = k[ok][use], m[use]
-                    total += c["p"] * float((kk * np.log(mm + EPSILON) - mm).sum())
-                    e = c["p"] * (kk * row["phi"] / (mm + EPSILON) - row["phi"])
-                    grad += np.bincount((vox[use] % (s.n + 1)).ravel(), (a[use] * e[:, None]).ravel(), s.n + 1)
+        for _, ok, vox, a, shots in _by_rotation(s, batches, "chosen"):
+            own, e = (values[vox] * a).sum(axis=1), np.zeros(len(ok))
+            for _, phi, k, b, p in shots:
+                m = b[ok] + phi * own
+                use = m > -EPSILON
+                kk, mm = k[ok][use], m[use]
+                total += p * float((kk * np.log(mm + EPSILON) - mm).sum())
+                e[use] += p * (kk * phi / (mm + EPSILON) - phi)
+            grad += np.bincount((vox % (s.n + 1)).ravel(), (a * e[:, None]).ravel(), s.n + 1)  # shots are added up before they are spread
         at = np.flatnonzero(grad[:s.n])
         place = np.concatenate(([-1], at))
         yield pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int64()), "g": pa.array(np.concatenate(([total], grad[at])), pa.float64())})
 
-    out, total = np.zeros(scene.n), 0.0
-    for r in packed.join(chosen, "shot").mapInArrow(run, "place long, g double").groupBy("place").agg(F.sum("g").alias("g")).toLocalIterator():
-        if r["place"] < 0:
-            total = r["g"]
-        else:
-            out[r["place"]] = r["g"]
-    return total, out
+    found = chosen.mapInArrow(run, "place long, g double").groupBy("place").agg(F.sum("g").alias("g")).toArrow()
+    w.destroy()
+    place, value = found.column("place").to_numpy(), found.column("g").to_numpy()
+    out = np.zeros(scene.n)
+    out[place[place >= 0]] = value[place >= 0]
+    return float(value[place < 0].sum()), out
 
 
 def lbfgs(fun, x: np.ndarray, steps: int, memory: int = 8) -> tuple[np.ndarray, list[float]]:
@@ -186,9 +238,11 @@ def density_step(packed: DataFrame, p: DataFrame, scene: Scene, density: np.ndar
     floor = min(1e-7, density[density > 0].min()) if (density > 0).any() else 1e-7
     x = np.sqrt((np.where(density > 0, density, floor) + 1) ** 2 - 1)
 
+    chosen = cut(with_chosen(packed, p))  # stored once, so an evaluation shuffles no pixels
+
     def objective(x):
         root = np.sqrt(x * x + 1)
-        value, grad = packed_objective(packed, p, scene, root - 1)
+        value, grad = chosen_objective(chosen, scene, root - 1)
         return -value, -grad * x / root
 
     x, values = lbfgs(objective, x, steps, memory)
@@ -197,15 +251,15 @@ def density_step(packed: DataFrame, p: DataFrame, scene: Scene, density: np.ndar
 
 def to_voxels(spark, scene: Scene, density: np.ndarray) -> DataFrame:
     vox = np.flatnonzero(scene.places >= 0)
-    return spark.createDataFrame([(int(v), float(w)) for v, w in zip(vox, density)], "vox int, w double")
+    return spark.createDataFrame(pa.table({"vox": pa.array(vox, pa.int32()), "w": pa.array(density, pa.float64())}))
 
 
 def to_density(scene: Scene, voxels: DataFrame) -> np.ndarray:
     """Packed over the mask; a voxel that is absent is 0."""
     out = np.zeros(scene.n)
-    for r in voxels.select("vox", "w").collect():  # the grid's size, checked before
-        if scene.places[r["vox"]] >= 0:
-            out[scene.places[r["vox"]]] = r["w"]
+    found = voxels.select("vox", "w").toArrow()  # the grid's size, checked before
+    place = scene.places[found.column("vox").to_numpy()]
+    out[place[place >= 0]] = found.column("w").to_numpy()[place >= 0]
     return out
 
 
@@ -217,19 +271,21 @@ def run(pixels: DataFrame, rotations: DataFrame, shot_px: DataFrame, shots: Data
     scene = Scene.collect(pixels, rotations, mask, grid)
     density = to_density(scene, voxels)
     history = []
+    pixels_of = cut(packed_shots(shot_px, shots, prob_rot))  # grouped and stored once; a new scale is joined to it
+    packed = pixels_of
     for i in range(iterations):
-        packed = packed_shots(shot_px, shots, prob_rot)
         logr = packed_log_likelihood(packed, scene, density)
         p = likelihood.probabilities(logr, beta, min_p).persist()
         before = p.agg(F.sum(F.col("p") * F.col("logr"))).first()[0]
         entry = {"iteration": i, "functional": before}
         if refine_scales and i > 4 and i % 2:
-            model = likelihood.model_values(pixels, rotations, to_voxels(spark, scene, density), grid)
+            model = likelihood.model_values(pixels, rotations, to_voxels(spark, scene, density), grid, prob_rot)
             if scale_method == "likelihood":
                 new = update.fitted_scales(likelihood.pixel_terms(model, shot_px, shots, prob_rot), p, shots)
             else:
                 new = update.analytic_scales(p, model, shot_px, shots)
             shots = cut(new.select("shot", "phi"))
+            packed = pixels_of.drop("phi").join(shots, "shot").select(*pixels_of.columns)
             entry["updated"] = "scales"
         else:
             if method in ("lbfgs", "line_search"):
@@ -244,4 +300,5 @@ def run(pixels: DataFrame, rotations: DataFrame, shot_px: DataFrame, shots: Data
         if on_iteration:
             on_iteration(i, to_voxels(spark, scene, density), shots, p)
         p.unpersist()
+    scene.forget()
     return to_voxels(spark, scene, density), shots, history

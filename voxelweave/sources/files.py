@@ -5,10 +5,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from voxelweave.operators.order import ranked
 from voxelweave.operators.rotations import QUATERNION_SCHEMA
 
 _RECORD = struct.Struct("<5d")
@@ -97,9 +98,7 @@ def experiment_lines(lines: DataFrame, col: str = "value") -> DataFrame:
 
 def halves(shots: DataFrame, key: str = "shot") -> DataFrame:
     """``shots`` with half, 0 or 1, by turns in the order of ``key``."""
-    from voxelweave.operators.grid import sparse_rank
-
-    ranks = sparse_rank(shots.select(F.col(key).alias("vox")).distinct()).select(F.col("vox").alias(key), (F.col("place") % 2).cast("int").alias("half"))
+    ranks = ranked(shots.select(key).distinct(), [key]).select(key, (F.col("place") % 2).cast("int").alias("half"))
     return shots.join(ranks, key)
 
 
@@ -151,7 +150,8 @@ def iteration_of(name: Column) -> Column:
 def in_order(names: DataFrame, col: str = "name") -> DataFrame:
     """(name, iteration, place) by iteration; names without one are left out."""
     n = names.withColumn("iteration", F.when(F.col(col).rlike(r"iter\d+\.[A-Za-z0-9]+$"), iteration_of(F.col(col)))).filter("iteration IS NOT NULL")
-    return n.select(F.col(col).alias("name"), "iteration", F.row_number().over(Window.orderBy("iteration", col)).alias("place"))
+    out = ranked(n.select(F.col(col).alias("name"), "iteration"), ["iteration", "name"])
+    return out.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def write_inputs(shots: DataFrame, shot_px: DataFrame, prob_rot: DataFrame, path: str) -> None:
