@@ -1,10 +1,11 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from voxelweave.llm import winnow
+from voxelweave.llm import op2, winnow
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -22,8 +23,8 @@ def plain(text, items, span):
             for j in range(len(words) - n + 1):
                 if words[j:j + n] == b[i:i + n]:
                     hit.update(range(j, j + n))
-                    who.add(str(item))
-    return len(words), hit, sorted(who)
+                    who.add(item)
+    return len(words), hit, sorted(str(x) for x in who if x is not None) + [None] * (None in who)
 
 
 def cases(seed, span):
@@ -48,7 +49,8 @@ def test_against_all_windows(spark, span, block_words):
     items, docs = cases(span, span)
     docs += [docs[7], docs[7], (None, docs[9][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS items", "1 AS n_hit")
-    bench = spark.createDataFrame([*items, (None, docs[8][1])], "item_id long, text string")
+    items += [(None, docs[8][1]), (None, docs[8][1])]  # hits words, though it has no id
+    bench = spark.createDataFrame(items, "item_id long, text string")
     got = winnow.contamination(df, bench, span=span, block_words=block_words).collect()
     seen = sorted(((r.doc_id, r.n_words, r.n_hit, [x for s in r.spans for x in range(s.start, s.end)], r["items"]) for r in got), key=str)
     want = []
@@ -58,6 +60,18 @@ def test_against_all_windows(spark, span, block_words):
     assert seen == sorted(want, key=str)
 
 
+def test_items_without_an_id_as_in_the_sql(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(1, words), (2, "x " + words), (3, "other"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, words), (None, words + " more"), (7, words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duck.execute(op2.ORACLE_SQL["op2_benchmark_decontamination"]).fetchall()
+    got = op2.op2_benchmark_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r.doc_id: (r.n_hit, r.n_items) for r in got} == {1: (20, 2), 2: (20, 2), 3: (0, 0), 4: (0, 0)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

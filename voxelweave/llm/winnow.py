@@ -159,7 +159,7 @@ def search(words: list[bytes], block: Block) -> tuple[np.ndarray, set]:
 def _blocks(bench: DataFrame, item_col: str, text_col: str, span: int, block_words: int) -> Iterator[Block]:
     """Blocks of the benchmark of at most ``block_words`` words, or one item if that is longer."""
     held, n = [], 0
-    rows = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    rows = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     for row in rows.toLocalIterator():
         words = words_of(row.text)
         if held and n + len(words) > block_words:
@@ -178,7 +178,7 @@ def contamination(
     """(doc_id, n_words, n_hit, spans, items) for every row of ``docs``.
 
     spans: [start, end) pairs of hit words, in order; items: ids (as strings, sorted) of items of which a window occurs.
-    Null texts have no words. Items with a null id or text are skipped; items that share an id count as one.
+    Null texts have no words. Items that share an id count as one, and so do those without an id: their windows hit words like others, and items ends in a null for them.
     Repeated documents each get their row (rows with the same id and text are alike). An empty benchmark hits nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -197,7 +197,7 @@ def contamination(
                 at, who = search(words, own) if own and words else (np.empty(0, np.int64), set())
                 n_words.append(len(words))
                 spans.append(as_spans(at))
-                items.append(sorted(who))
+                items.append(_in_order(who))
                 if keyed:
                     key.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
             out = {"doc_id": chunk.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
@@ -219,6 +219,10 @@ def contamination(
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
+def _in_order(items: set) -> list:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 def as_spans(at: np.ndarray) -> list[dict]:
     if not len(at):
         return []
@@ -231,7 +235,7 @@ def _merged(both: DataFrame, schema: str) -> DataFrame:
 
     def union(rows: pa.Table) -> pa.Table:
         at = [np.arange(s["start"], s["end"]) for r in rows.column("spans").to_pylist() for s in r]
-        items = sorted({x for r in rows.column("items").to_pylist() for x in r})
+        items = _in_order({x for r in rows.column("items").to_pylist() for x in r})
         spans = as_spans(np.unique(np.concatenate(at))) if at else []
         one = rows.slice(0, 1)
         return pa.table({"doc_id": one.column("doc_id"), "n_words": one.column("n_words"), "spans": pa.array([spans], _SPANS), "items": pa.array([items], pa.list_(pa.string())), "copies": one.column("copies")})
@@ -252,7 +256,8 @@ def decontaminated(
     """The rows of ``docs`` of which fewer than one in ``share`` words is hit, with all their columns; hits as in ``contamination``.
 
     With one block of the benchmark the rows are filtered as they are scanned; with several, rows are dropped by id and text after the
-    hits of all blocks are merged. Rows without words stay.
+    hits of all blocks are merged. Rows without words (null and empty texts) stay, null and repeated ids and items without an id are as in
+    ``contamination``, an empty benchmark takes nothing away.
     """
     blocks = _blocks(bench, item_col, item_text_col, span, block_words)
     first, second = next(blocks, None), next(blocks, None)
