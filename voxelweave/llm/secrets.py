@@ -125,8 +125,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every secret of ``text_col`` replaced by ``mask``; overlapping spans are one. Null texts stay null; all else stays as it is."""
     columns = docs.columns
+    if docs.schema[text_col].dataType.simpleString() != "string":
+        raise TypeError(f"{text_col} must be a string")
     small_batches(docs.sparkSession)
-    place, field = columns.index(text_col), docs.schema[text_col]
+    place = columns.index(text_col)
 
     def clean(text: str | None) -> str | None:
         if not text:
@@ -144,5 +146,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
             arrays[place] = pa.array([clean(t) for t in chunk.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    assert field.dataType.simpleString() == "string", f"{text_col} must be a string"
     return docs.mapInArrow(run, docs.schema)
