@@ -73,6 +73,15 @@ def test_against_a_plain_version(spark):
     assert {r.page_id: r.verdict for r in got}[18] == "block" and {r.page_id: r.verdict for r in got}[19] == "allow"
 
 
+def test_the_bound_of_labelled_urls(spark):
+    rows = [(f"http://{'bad' if y else 'fine'}{k}.com/", y) for k in range(300) for y in ((1, 0) if k % 3 else (0,))]
+    labelled = spark.createDataFrame([*rows, ("http://none.com/", None)], "url string, label int")
+    few, again = (sorted(map(tuple, u.fit(x, 20).collect())) for x in (labelled, labelled.repartition(5)))
+    assert few == again and 0 < len(few) < len(u.fit(labelled, 60).collect())
+    (row,) = u.judge_urls(spark.createDataFrame([(1, "http://bad301.com/")], "page_id long, url string"), (), labelled, max_labelled=20).collect()
+    assert row.score > 0.5  # both classes are in the sample
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert u.judge_urls(none, RULES).collect() == []

@@ -1,7 +1,7 @@
 """URL filters: host and path rules first, else logistic regression on hashed character n-grams of host and path.
 
-All of it is DataFrame and SQL functions, the fit as well. The labelled table is small (LABELLED, or a table of at most
-``MAX_LABELLED`` rows), so the regression is fitted in its dual form: one coefficient for each labelled URL, the kernel
+All of it is DataFrame and SQL functions, the fit as well. The labelled table is small (LABELLED, or a table of which at most
+``max_labelled`` rows are taken, half of each class at most, by a hash of the url), so the regression is fitted in its dual form: one coefficient for each labelled URL, the kernel
 being the share of n-grams that two URLs have in common, by gradient descent inside one ``aggregate`` expression. Weights of n-grams
 follow by a group-by over their hash and reach the pages as one array of DIMENSIONS numbers, so scoring is a projection without a shuffle.
 """
@@ -86,14 +86,15 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(url, label)")
 
 
-def fit(labelled: DataFrame) -> DataFrame:
+def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(gram, weight) of a logistic regression on ``labelled`` (url, label 0 or 1); gram -1 is the constant.
 
-    Rows with a null label are left out, equal rows count each; over MAX_LABELLED rows the rest (by url, then label) is left out.
-    Without rows there are no weights.
+    Rows with a null label are left out, equal rows count each. Of each class the ``max_labelled`` // 2 rows of the least hash of their url are fitted (and then by url), so no
+    host is preferred and both classes stay. Without rows there are no weights.
     """
-    rows = labelled.filter("label IS NOT NULL").select(grams(host_of(F.col("url")), path_of(F.col("url"))).alias("x"), F.col("label").cast("double").alias("y"), "url")
-    rows = rows.orderBy("url", "y").limit(MAX_LABELLED).select("x", "y")
+    labelled = labelled.filter("label IS NOT NULL").select("url", "label")
+    taken = [labelled.filter(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(max_labelled // 2) for y in (0, 1)]
+    rows = taken[0].unionByName(taken[1]).select(grams(host_of(F.col("url")), path_of(F.col("url"))).alias("x"), F.col("label").cast("double").alias("y"))
     one = rows.agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("r"))
     # repartition keeps the kernel out of the loop: it would be worked out once an epoch
     common = lambda a, b: F.size(F.array_intersect(a["x"], b["x"])) / F.sqrt(F.size(a["x"]) * F.size(b["x"]).cast("double")) + 1.0
@@ -121,7 +122,8 @@ def score(host: Column, path: Column, weights: DataFrame) -> Column:
     return 1 / (1 + F.exp(-(F.lit(by_gram.get(-1, 0.0)) + total / F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double")))))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.8) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.8,
+               max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of ``pages``.
 
     verdict is the longest fitting rule's, else block where score >= threshold (0.8: only what is clearly like the blocked URLs). A null url, or one without ``://``, has an empty host and
@@ -129,7 +131,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled
     other columns are ignored. Nothing is shuffled: rows of a hot host stay where they are.
     """
     spark = pages.sparkSession
-    weights = fit(labelled if labelled is not None else labelled_urls(spark))
+    weights = fit(labelled if labelled is not None else labelled_urls(spark), max_labelled)
     split = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     scored = split.select("*", rule.alias("rule"), verdict.alias("ruled"), score(F.col("host"), F.col("path"), weights).alias("score"))
