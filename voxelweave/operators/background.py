@@ -137,6 +137,34 @@ def spot_sizes(labels: DataFrame, least: int, most: int) -> DataFrame:
     return labels.join(ok, ["shot", "label"], "left_semi")
 
 
+def dispersion_threshold(image: DataFrame, reach: int = 3, gain: float = 1.0, sigma_background: float = 6.0, sigma_strong: float = 3.0, least: int = 2) -> DataFrame:
+    """(shot, x, y, v) of strong pixels, by the index of dispersion: in the window of ``reach`` pixels to each side, the variance over the mean is above that of a Poisson background by
+    ``sigma_background`` standard errors, and the pixel is above the window's mean by ``sigma_strong`` standard deviations. ``image`` holds trusted pixels only; those that are absent count
+    in no window, and a window of fewer than ``least`` pixels has no strong one.
+
+    Sums over a window are taken along x, then along y, so a task needs one row or column of an image at a time.
+    """
+    def along(df: DataFrame, line: str, axis: str, sums: dict) -> DataFrame:
+        w = Window.partitionBy("shot", line).orderBy(axis).rangeBetween(-reach, reach)
+        return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
+
+    # a pixel that is absent can still be the middle of a row's window, so rows are summed at every place of the image's columns
+    rows = image.select("shot", "x", "y", F.col("v").cast("double").alias("v"))
+    spread = rows.select("shot", "y", "v", F.explode(F.sequence(F.col("x") - reach, F.col("x") + reach)).alias("x")).groupBy("shot", "x", "y").agg(
+        F.count("*").alias("m0"), F.sum("v").alias("m1"), F.sum(F.col("v") * F.col("v")).alias("m2"))
+    sums = along(spread, "x", "y", {"m": "m0", "s": "m1", "q": "m2"})
+    both = rows.join(sums.select("shot", "x", "y", "m", "s", "q"), ["shot", "x", "y"])
+    m, total, square = F.col("m"), F.col("s"), F.col("q")
+    spread_enough = m * square - total * total - gain * total * (m - 1) > gain * total * sigma_background * F.sqrt(2.0 * (m - 1))
+    bright_enough = m * F.col("v") - total > sigma_strong * F.sqrt(gain * total * m)
+    return both.filter((m >= least) & (total >= 0) & spread_enough & bright_enough).select("shot", "x", "y", "v")
+
+
+def find_spots(image: DataFrame, strong: DataFrame, least: int, most: int, shift: float = -0.5) -> DataFrame:
+    """(shot, label, n_px, cx, cy, total): spots of ``least`` to ``most`` face-connected strong pixels (shot, x, y) and their centres of intensity in ``image``."""
+    return spot_centroids(spot_sizes(label_spots(strong), least, most), image, shift)
+
+
 def label_spots(pixels: DataFrame) -> DataFrame:
     """(shot, x, y, label): face-connected pixels of a shot share a label, numbered from 1 in the order of their first pixel (by y, then x)."""
 

@@ -79,6 +79,24 @@ def renumbered(refl: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     return left.join(ids, "shot")
 
 
+def narrow_shots(shots: DataFrame, cutoff: float | None) -> DataFrame:
+    """Shots (shot, sigma_b) whose reflections spread less than ``cutoff``; all of them without one."""
+    return shots if cutoff is None else shots.filter(F.col("sigma_b") < cutoff)
+
+
+def significant(refl: DataFrame, n_bins: int, least_ratio: float) -> DataFrame:
+    """Reflections (.., shot, d, i, var) up to the resolution at which a shot's signal ends. A shot's range of 1 / d³ is cut into ``n_bins`` equal bins, and the first
+    one, from coarse to fine, of which the mean i / sqrt(var) is under ``least_ratio`` ends it, with all finer ones; empty bins end nothing. Shots without reflections left are gone."""
+    cube = refl.withColumn("cube", 1 / (F.col("d") * F.col("d") * F.col("d")))
+    span = cube.groupBy("shot").agg(F.min("cube").alias("low"), F.max("cube").alias("high"))
+    place = F.floor((F.col("cube") - F.col("low")) / (F.col("high") - F.col("low")) * n_bins)
+    binned = cube.join(span, "shot").withColumn("bin", F.when(F.col("high") > F.col("low"), F.least(place, F.lit(n_bins - 1))).otherwise(0).cast("int"))
+    weak = binned.groupBy("shot", "bin").agg(F.avg(F.col("i") / F.sqrt("var")).alias("ratio")).filter(F.col("ratio") < least_ratio)
+    ends = weak.groupBy("shot").agg(F.min("bin").alias("end"))
+    kept = binned.join(ends, "shot", "left").filter(F.col("end").isNull() | (F.col("bin") < F.col("end")))
+    return kept.select(*refl.columns)
+
+
 def significance_ladder(refl: DataFrame, steps: int = 6) -> DataFrame:
     """(step, n, rmsd): reflections of i / sqrt(var) >= 0, 1, .. and the root mean square of their offsets (dx, dy)."""
     ratio = F.col("i") / F.sqrt("var")

@@ -131,3 +131,11 @@ def confident(p: DataFrame, rotations: DataFrame, symops: DataFrame, cut: float
         same = same & (F.abs(a - F.col(f"l{c}")) <= tolerance)
     equal = images.groupBy("shot", "r").agg(F.count_if(same).alias("n")).groupBy("shot").agg(F.min(F.when(F.col("n") == 1, 1).otherwise(0)).alias("ok")).filter("ok = 1")
     return one.select("shot", "r", "n_good").unionByName(four.join(equal, "shot", "left_semi").select("shot", "r", "n_good"))
+
+
+def random_quaternions(ids: DataFrame, col: str, seed: int) -> DataFrame:
+    """(col, q0..q3): a uniformly random orientation for each id, q0 the scalar. The three numbers of an id come from digests of seed and id, so a lost task draws the same."""
+    u = [F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(col).cast("string"), F.lit(str(k))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32) for k in range(3)]
+    turn = [2 * np.pi * x for x in u[1:]]
+    near, far = F.sqrt(1 - u[0]), F.sqrt(u[0])
+    return ids.select(col, (far * F.cos(turn[1])).alias("q0"), (near * F.sin(turn[0])).alias("q1"), (near * F.cos(turn[0])).alias("q2"), (far * F.sin(turn[1])).alias("q3"))

@@ -280,6 +280,52 @@ def background_cache(spark, sf):
     return files.cached_by_shot(image, path, flat).groupBy("shot").agg(F.count("*").alias("n"))
 
 
+@query("photon_image", f"SELECT shot, x, y, {o.r6('v / 2.5', 'v')} FROM image")
+def photon_image(spark, sf):
+    return rounded(files.photons(f.image(spark, sf), 2.5), "v")
+
+
+def _reread(spark, rows: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    files.write_table(rows, path)
+    return spark.read.parquet(path)
+
+
+@query("qmap_roundtrip", f"SELECT x, y, {', '.join(o.r6(q, q) for q in g.QS)} FROM detq")
+def qmap_roundtrip(spark, sf):
+    return rounded(_reread(spark, bg.q_map(bg.detector_pixels(spark, f.DETECTOR), f.DETECTOR, f.BEAM), "qmap"), *g.QS)
+
+
+@query("emc_input_geometry", f"SELECT x, y, qbin, {o.r6('polar', 'polar')}, round(omega, 12) + 0.0 AS omega, {o.r6('polar * omega / (SELECT avg(polar * omega) FROM detf)', 'f')} FROM detf JOIN bins USING (x, y)")
+def emc_input_geometry(spark, sf):
+    """What the inputs of a reconstruction keep of the detector: radial bin, polarization, solid angle and correction of each trusted pixel."""
+    pixels = bg.detector_pixels(spark, f.DETECTOR)
+    factors = pixels.select("x", "y", bg.polarization(f.DETECTOR, f.BEAM).alias("polar"), bg.solid_angle(f.DETECTOR).alias("omega"))
+    both = f.bins(spark).join(factors, ["x", "y"]).join(bg.correction(pixels, f.DETECTOR, f.BEAM), ["x", "y"])
+    return _reread(spark, both, "geometry").select("x", "y", "qbin", r6("polar", "polar"), r6("omega", "omega", 12), r6("f", "f"))
+
+
+@query("pdr_snapshot", f"SELECT shot, r, {o.r6('p', 'p')} FROM pdr")
+def pdr_snapshot(spark, sf):
+    path = f"{shared_folder(spark)}/probabilities-{uuid.uuid4().hex}"
+    files.write_probabilities(f.pdr(spark, sf), path, 7)
+    return rounded(spark.read.parquet(path).filter("iter = 7").select("shot", "r", "p"), "p")
+
+
+@query("residual_table", f"SELECT shot, count(*) AS nref, {o.r6('avg(sqrt(dx * dx + dy * dy))', 'pred_offset')} FROM refl GROUP BY shot")
+def residual_table(spark, sf):
+    rows = f.refl(spark, sf).groupBy("shot").agg(F.count("*").alias("nref"), F.avg(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("pred_offset"))
+    return rounded(_reread(spark, rows, "residuals"), "pred_offset")
+
+
+_UNIFORM = [f"CAST('0x' || substr(md5('7:' || shot || ':{k}'), 1, 8) AS BIGINT) / 4294967296e0 AS u{k}" for k in range(3)]
+
+
+@query("random_orientations", f"SELECT shot, {o.r6('sqrt(u0) * cos(2 * pi() * u2)', 'q0')}, {o.r6('sqrt(1 - u0) * sin(2 * pi() * u1)', 'q1')}, {o.r6('sqrt(1 - u0) * cos(2 * pi() * u1)', 'q2')}, {o.r6('sqrt(u0) * sin(2 * pi() * u2)', 'q3')} FROM (SELECT shot, {', '.join(_UNIFORM)} FROM (SELECT DISTINCT shot FROM refl))")
+def random_orientations(spark, sf):
+    return rounded(orient.random_quaternions(f.refl(spark, sf).select("shot").distinct(), "shot", 7), "q0", "q1", "q2", "q3")
+
+
 @query("density_snapshot", f"SELECT CAST(i AS INTEGER) AS vox, round(coalesce(w, 0), 6) + 0.0 AS w FROM range({N ** 3}) t(i) LEFT JOIN (SELECT * FROM voxels JOIN masked USING (vox)) v ON v.vox = t.i")
 def density_snapshot(spark, sf):
     path = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
@@ -680,6 +726,28 @@ def label_spots(spark, sf):
     return bg.label_spots(_bright(spark, sf))
 
 
+_COUNTS = "(SELECT shot, x, y, round(v) AS v FROM image)"
+_SPREAD_X = f"SELECT a.shot, a.x, a.y, a.v, count(*) AS m, sum(b.v) AS s, sum(b.v * b.v) AS q FROM {_COUNTS} a JOIN {_COUNTS} b ON a.shot = b.shot AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 GROUP BY a.shot, a.x, a.y, a.v"
+_DISPERSED = f"SELECT shot, x, y, v FROM ({_SPREAD_X}) WHERE m >= 2 AND m * q - s * s - s * (m - 1) > s * 0.5 * sqrt(2e0 * (m - 1)) AND m * v - s > 1.5 * sqrt(s * m)"
+
+
+def _strong(spark, sf):
+    counts = f.image(spark, sf).withColumn("v", F.round("v"))  # whole counts, so that sums are exact
+    return counts, bg.dispersion_threshold(counts, 3, 1.0, 0.5, 1.5)
+
+
+@query("dispersion_threshold", _DISPERSED)
+def dispersion_threshold(spark, sf):
+    return _strong(spark, sf)[1]
+
+
+@query("find_spots", f"SELECT shot, CAST(label AS INTEGER) AS label, count(*) AS n_px, {o.r6('sum(v * (x + 0.5)) / sum(v) - 0.5', 'cx')}, {o.r6('sum(v * (y + 0.5)) / sum(v) - 0.5', 'cy')}, {o.r6('sum(v)', 'total')} FROM (SELECT *, dense_rank() OVER (PARTITION BY shot ORDER BY root) AS label FROM (WITH RECURSIVE bright AS MATERIALIZED ({_DISPERSED}), reach AS (SELECT shot, x, y, v, x AS x2, y AS y2 FROM bright UNION SELECT r.shot, r.x, r.y, r.v, b.x, b.y FROM reach r JOIN bright b ON r.shot = b.shot AND abs(r.x2 - b.x) + abs(r.y2 - b.y) = 1) SELECT shot, x, y, v, min(y2 * 1000 + x2) AS root FROM reach GROUP BY shot, x, y, v)) GROUP BY shot, label HAVING count(*) BETWEEN 1 AND 3")
+def find_spots(spark, sf):
+    """From images to centroids: strong pixels, labels, sizes, centres."""
+    counts, strong = _strong(spark, sf)
+    return rounded(bg.find_spots(counts, strong, 1, 3), "cx", "cy", "total")
+
+
 @query("spot_size_filter", "SELECT refl_id, shot, x, y FROM boxes WHERE refl_id IN (SELECT refl_id FROM boxes GROUP BY refl_id HAVING count(*) BETWEEN 3 AND 8)")
 def spot_size_filter(spark, sf):
     r = f.refl(spark, sf)
@@ -818,6 +886,24 @@ def renumber_ids(spark, sf):
     return ev.renumbered(r, r.select("shot").filter("shot % 3 <> 1")).select("shot", "refl_id", "new_id")
 
 
+@query("sigma_b_cutoff", "SELECT shot, refl_id, dense_rank() OVER (ORDER BY shot) - 1 AS new_id FROM refl WHERE (shot % 11) / 10e0 < 0.55")
+def sigma_b_cutoff(spark, sf):
+    r = f.refl(spark, sf)
+    narrow = ev.narrow_shots(r.select("shot").distinct().withColumn("sigma_b", F.col("shot") % 11 / 10.0), 0.55)
+    return ev.renumbered(r, narrow).select("shot", "refl_id", "new_id")
+
+
+_D = "(1 + refl_id % 7) * 0.5"
+
+
+@query("significance_filter", f"""WITH c AS (SELECT shot, refl_id, i, var, 1 / ({_D} * {_D} * {_D}) AS c FROM (SELECT shot % 50 AS shot, refl_id, i, var FROM refl)), s AS (SELECT *, min(c) OVER (PARTITION BY shot) AS low, max(c) OVER (PARTITION BY shot) AS high FROM c),
+b AS (SELECT shot, refl_id, i / sqrt(var) AS ratio, CASE WHEN high > low THEN least(floor((c - low) / (high - low) * 4), 3) ELSE 0 END AS bin FROM s), w AS (SELECT shot, min(bin) AS stop FROM (SELECT shot, bin FROM b GROUP BY shot, bin HAVING avg(ratio) < 7.8) GROUP BY shot)
+SELECT shot, refl_id FROM b LEFT JOIN w USING (shot) WHERE stop IS NULL OR bin < stop""")
+def significance_filter(spark, sf):
+    r = f.refl(spark, sf).withColumn("shot", F.col("shot") % 50).withColumn("d", (1 + F.col("refl_id") % 7) * 0.5)
+    return ev.significant(r, 4, 7.8).select("shot", "refl_id")
+
+
 @query("isigi_ladder", "SELECT CAST(s AS INTEGER) AS step, count(*) FILTER (WHERE i / sqrt(var) >= s) AS n, round(coalesce(sqrt(avg(dx * dx + dy * dy) FILTER (WHERE i / sqrt(var) >= s)), 0), 6) + 0.0 AS rmsd FROM refl, range(0, 6) t(s) GROUP BY s")
 def isigi_ladder(spark, sf):
     return rounded(ev.significance_ladder(f.refl(spark, sf)), "rmsd")

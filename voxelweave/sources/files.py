@@ -168,6 +168,18 @@ def read_inputs(spark: SparkSession, path: str, least: int, most: int, limit: in
     return found if limit is None else found.orderBy("name").limit(limit)
 
 
+def photons(image: DataFrame, per_photon: float = 1.0) -> DataFrame:
+    """``image`` (.., v) in photons: detector units over the units of one photon."""
+    if not per_photon > 0:
+        raise ValueError("a photon has a positive number of detector units")
+    return image.withColumn("v", F.col("v") / per_photon)
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """A table of pixels (q-map; radial bin, polarization, solid angle, correction), of backgrounds by shot, or of residuals, for a later run."""
+    rows.write.mode("overwrite").parquet(path)
+
+
 def write_probabilities(p: DataFrame, path: str, iteration: int) -> None:
     """(shot, r, p) under ``path``/iter=N."""
     p.select("shot", "r", "p").write.mode("overwrite").parquet(f"{path}/iter={iteration}")
