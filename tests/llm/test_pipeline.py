@@ -5,8 +5,9 @@ import public_tokenizers as P
 import pyarrow.parquet as pq
 import tiktoken
 from pyspark.sql import functions as F
+from test_jaccard import alike, plain_set
 from test_secrets import plain as plain_secrets
-from test_simhash import plain_components, plain_fingerprint
+from test_simhash import plain_fingerprint
 from test_winnow import plain as plain_hits
 
 import corpus_pipeline
@@ -43,13 +44,16 @@ def test_stages_against_plain_versions(spark):
     model = quality.fit(sample)
     assert sorted(kept["quality"]) == sorted(d for d in docs if model.score(quality.features(d[1])) >= 0.7)
     assert 0 < len(kept["quality"]) < len(docs)
-    # near duplicates
-    prints = {d[0]: plain_fingerprint(d[1]) for d in kept["quality"]}
-    root = plain_components(sorted(set(prints.values())), 4)
-    least = {}
-    for d, f in sorted(prints.items()):
-        least.setdefault(root[f], d)
-    assert sorted(kept["near_duplicates"]) == sorted(d for d in kept["quality"] if d[0] in least.values())
+    # near duplicates: SimHash links (four words, four bits) and a similarity of five-word shingles of 0.8 or more
+    rows = sorted(kept["quality"])
+    prints, sets = [plain_fingerprint(d[1]) for d in rows], [plain_set(d[1]) for d in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and ((prints[i] ^ prints[j]).bit_count() <= 4 or alike(sets[i], sets[j])):
+                one, two = sorted((root[i], root[j]))
+                root = [one if r == two else r for r in root]
+    assert sorted(kept["near_duplicates"]) == [d for i, d in enumerate(rows) if root[i] == i]
     assert len(kept["near_duplicates"]) < len(kept["quality"])
     # decontamination
     bench = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()

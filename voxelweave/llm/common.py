@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,26 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables that this driver has written to the shared folder, so that they can be taken away.
-_WRITTEN: list[str] = []
+class _Written(threading.local):
+    """Tables that this thread of the driver has written to the shared folder, so that they can be taken away; those of queries of other threads stay."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new place in this application's part of the shared folder."""
-    _WRITTEN.append(f"{shared_dir(spark)}/voxelweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
+    _WRITTEN.paths.append(f"{shared_dir(spark)}/voxelweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN.paths[-1]
 
 
 def written_so_far() -> int:
-    return len(_WRITTEN)
+    return len(_WRITTEN.paths)
 
 
 def delete_written(spark: SparkSession, since: int, keep: str) -> None:
     """Take away what was written after ``since``, but for ``keep``: for a caller that knows that nothing reads it any more."""
-    for path in _WRITTEN[since:]:
+    for path in _WRITTEN.paths[since:]:
         if path != keep:
             delete_path(spark, path)
-    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p == keep]
+    _WRITTEN.paths[since:] = [p for p in _WRITTEN.paths[since:] if p == keep]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -5,18 +5,21 @@ Fingerprint: words are lower-cased (A-Z) runs without ASCII white space; every s
 of the hashes. A text of fewer words is one shingle, one without words has fingerprint zero.
 
 Join: two fingerprints are linked if at most ``budget`` of 64 bits differ. The 64 bits are cut into
-``budget + 2`` blocks, so linked fingerprints agree on two whole blocks at least; each pair of blocks routes a fingerprint
-to one bucket. A bucket is a subtree of the trie over the bits left; it is joined with itself by descending
-pairs of trie nodes together, adding up differing bits and pruning pairs over the budget and pairs
-whose leaves are known to be connected. A bucket returns a spanning forest, never its pairs.
-
-Buckets over ``bucket_rows`` fingerprints are salted into chunks first. After the components of that pass
-are known, only salted buckets that still hold more than one component are joined chunk by chunk,
+``budget + k`` blocks, so linked fingerprints agree on k whole blocks at least. Each choice of k blocks is one binary trie, those blocks first in
+its bits. A pair that differs in them is found in another trie, so a trie is dealt out by the node that these blocks lead to, and the
+subtree below it is joined with itself: pairs of trie nodes are descended together, differing bits are added up, and
+pairs over the budget, and pairs whose leaves are known to be connected, are pruned. A subtree returns a spanning forest, never its pairs.
+k is the least for which a subtree of evenly spread fingerprints has ``subtree_rows`` of them at most (1 up to millions of fingerprints), so the work of a
+fingerprint stays alike at every size; the links are the same for every k.
+
+Subtrees over ``bucket_rows`` fingerprints (of uneven ones) are salted into chunks first. After the components of that pass
+are known, only salted subtrees that still hold more than one component are joined chunk by chunk,
 so that no link is lost and no task holds more than two chunks.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
@@ -31,27 +34,36 @@ from voxelweave.llm.components import connected_components
 
 SEED = 42
 #: Node pairs that are worked on at once, and leaf pairs that are compared without descending further.
-FRONTIER, LEAF_PAIRS = 400_000, 16
+FRONTIER, LEAF_PAIRS = 400_000, 2
+#: Fingerprints of a subtree, on average.
+SUBTREE_ROWS = 1024
 
 
 # ---------------------------------------------------------------- fingerprints
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """The unsigned 64-bit SimHash of a text."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, in order, repeats included. A text of fewer words is one shingle, one without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n], ends[min(shingle, len(words)) - 1:])), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n], ends[min(shingle, len(words)) - 1:])), np.uint64, n)
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """The unsigned 64-bit SimHash of a text."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 32768):
+    for at in range(0, len(hashes), 32768):
         part = hashes[at:at + 32768].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -93,12 +105,14 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
 
 
-def trie_self_join(keys: np.ndarray, bounds: np.ndarray, budget: int, label: np.ndarray | None = None) -> np.ndarray:
+def trie_self_join(keys: np.ndarray, bounds: np.ndarray, budget: int, label: np.ndarray | None = None, counts: Counter | None = None) -> np.ndarray:
     """Classes of fingerprints linked within their buckets.
 
     keys: unsigned, ascending within each bucket; bucket k is keys[bounds[k]:bounds[k + 1]]. label: classes known
-    before (least member's place). Returns for each place the least place of its class.
+    before (least member's place). Returns for each place the least place of its class. ``counts`` gets the leaf pairs that were compared
+    (compared), and those below node pairs that were pruned over the budget (over) or as connected (connected).
     """
+    counts = Counter() if counts is None else counts
     n = len(keys)
     label = np.arange(n) if label is None else label.copy()
     ones: dict[int, np.ndarray] = {}
@@ -131,9 +145,11 @@ def trie_self_join(keys: np.ndarray, bounds: np.ndarray, budget: int, label: np.
         if bit < 0:
             small[:] = True
         now, later = ~pure & small, ~pure & ~small
+        counts["connected"] += int(((ahi - alo) * (bhi - blo))[pure].sum())
         if now.any():
             la, lb = (ahi - alo)[now], (bhi - blo)[now]
             pairs = la * lb
+            counts["compared"] += int(pairs.sum())
             place = _ranges(np.zeros(len(pairs), np.int64), pairs)
             wide = np.repeat(lb, pairs)
             i, j = np.repeat(alo[now], pairs) + place // wide, np.repeat(blo[now], pairs) + place % wide
@@ -152,6 +168,7 @@ def trie_self_join(keys: np.ndarray, bounds: np.ndarray, budget: int, label: np.
             *([(amid[~own], ahi[~own], blo[~own], bmid[~own], diff[~own] + 1)]),
         ]
         alo, ahi, blo, bhi, diff = (np.concatenate(x) for x in zip(*children))
+        counts["over"] += int(((ahi - alo) * (bhi - blo))[diff > budget].sum())
         keep = (alo < ahi) & (blo < bhi) & (diff <= budget) & ~((alo == blo) & (ahi - alo == 1))
         if keep.any():
             work.append((bit - 1, *(x[keep] for x in (alo, ahi, blo, bhi, diff))))
@@ -205,21 +222,25 @@ def _join_sorted(batches: Iterator[pa.RecordBatch], budget: int, known: bool) ->
 
 # ---------------------------------------------------------------- distributed join
 
-def _routes(budget: int) -> list[tuple[int, ...]]:
-    """The bit masks of every pair of ``budget + 2`` blocks."""
-    blocks = budget + 2
-    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    return [masks[i] | masks[j] for i, j in combinations(range(blocks), 2)]
+def _routes(budget: int, rows: int, subtree_rows: int) -> list[int]:
+    """The bit masks of every choice of k of ``budget + k`` blocks."""
+    for k in range(1, 64 - budget + 1):
+        blocks = budget + k
+        cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+        masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+        if rows <= subtree_rows << (k * (64 // blocks)):
+            break
+    return [sum(m) for m in combinations(masks, k)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def linked_components(fps: DataFrame, budget: int = 4, bucket_rows: int = 8192) -> DataFrame:
-    """(fp, root) for every fingerprint of ``fps`` (column fp, distinct) that has a link; root is one fingerprint of its component."""
-    routes = [F.struct(F.lit(k).cast("int").alias("route"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(_routes(budget))]
+def links(fps: DataFrame, budget: int = 4, bucket_rows: int = 8192, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
+    """(a, b): links that connect every two fingerprints of ``fps`` (column fp, distinct) of which ``budget`` bits at most differ, and no others."""
+    masks = _routes(budget, fps.count(), subtree_rows)
+    routes = [F.struct(F.lit(k).cast("int").alias("route"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)]
     # unsigned order of a signed long: flip the top bit
     routed = fps.select("fp", F.col("fp").bitwiseXOR(F.lit(-(1 << 63))).alias("ord"), F.explode(F.array(*routes)).alias("r")).select("r.route", "r.bits", "fp", "ord")
     crowds = routed.groupBy("route", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
@@ -235,17 +256,28 @@ def linked_components(fps: DataFrame, budget: int = 4, bucket_rows: int = 8192)
         return dealt.mapInArrow(lambda batches: _join_sorted(batches, budget, known), "a long, b long")
 
     edges, _ = written(joined(routed, ["route", "bits", "chunk"], False), "links")
-    comps = connected_components(edges)
     if not hot:
-        return comps.select(F.col("node").alias("fp"), "root")
-    # chunked buckets that still hold several components: every two chunks together
-    inside = routed.join(crowds, ["route", "bits"]).join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    several = inside.groupBy("route", "bits").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("route", "bits")
-    rows = inside.join(several, ["route", "bits"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("other <> chunk")
-    rows = rows.select("route", "bits", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "fp", "ord", "root")
-    more = joined(rows, ["route", "bits", "one", "two"], True)
-    links, _ = written(more.unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
-    return connected_components(links).select(F.col("node").alias("fp"), "root")
+        return edges
+    comps = connected_components(edges)
+    # salted subtrees that still hold several components: those of its largest one meet all others, and these one another, two chunks at a time
+    inside = routed.join(crowds, ["route", "bits"]).join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("route", "bits", "fp", "ord", F.coalesce("root", "fp").alias("root"))
+    sizes = inside.groupBy("route", "bits", "root").agg(F.count("*").alias("n")).groupBy("route", "bits").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"))
+    sizes = sizes.filter("all > top.n").select("route", "bits", F.col("top.root").alias("main"), *(F.ceil(n / bucket_rows).cast("int").alias(c) for c, n in (("mains", F.col("top.n")), ("others", F.col("all") - F.col("top.n")))))
+    sizes, _ = written(sizes, "several")
+    place = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = place(F.col("others"))
+    meets = F.when(F.col("root") == F.col("main"), F.transform(upto("others"), lambda k: F.struct(F.lit(0).alias("kind"), place(F.col("mains")).alias("one"), k.alias("two")))).otherwise(F.concat(
+        F.transform(upto("mains"), lambda k: F.struct(F.lit(0).alias("kind"), k.alias("one"), own.alias("two"))),
+        F.transform(upto("others"), lambda k: F.struct(F.lit(1).alias("kind"), F.least(own, k).alias("one"), F.greatest(own, k).alias("two")))))
+    rows = inside.join(sizes, ["route", "bits"]).select("route", "bits", F.explode(meets).alias("m"), "fp", "ord", "root").select("route", "bits", "m.*", "fp", "ord", "root")
+    more = joined(rows, ["route", "bits", "kind", "one", "two"], True)
+    return written(more.unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")[0]
+
+
+def linked_components(fps: DataFrame, budget: int = 4, bucket_rows: int = 8192, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
+    """(fp, root) for every fingerprint of ``fps`` (column fp, distinct) that has a link; root is one fingerprint of its component."""
+    return connected_components(links(fps, budget, bucket_rows, subtree_rows)).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, bucket_rows: int = 8192) -> DataFrame:
@@ -287,14 +319,16 @@ def one_of_each(docs: DataFrame, found: DataFrame, prints_of: Callable[[DataFram
     """The rows of ``deduplicated``, of found (doc_id, fp, component_id, root); prints_of gives (doc_id, fp) of rows by the names of their id and text."""
     gone = found.filter("doc_id <> component_id").select("doc_id")
     repeated, _ = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
+    taken = {c.lower() for c in docs.columns}
+    one, two = (next(n for n in (f"{name}{k}" for k in range(len(taken) + 1)) if n not in taken) for name in ("gone_id", "again_id"))  # names that no column has
     key = F.col(id_col)
-    single = docs.join(gone.select(F.col("doc_id").alias("gone_id")), key == F.col("gone_id"), "left_anti")
+    single = docs.join(gone.select(F.col("doc_id").alias(one)), key == F.col(one), "left_anti")
     if not repeated.limit(1).count():
         return single
-    again = repeated.withColumnRenamed("doc_id", "again_id")
-    single = single.join(again, key.eqNullSafe(F.col("again_id")), "left_anti")
+    again = repeated.withColumnRenamed("doc_id", two)
+    single = single.join(again, key.eqNullSafe(F.col(two)), "left_anti")
     # rows of repeated ids: their fingerprints once more, beside the whole row
-    rows = docs.join(again, key.eqNullSafe(F.col("again_id")), "left_semi").select(F.struct(*docs.columns).alias("doc_id"), F.col(text_col).alias("text"), key.alias("own_id"))
+    rows = docs.join(again, key.eqNullSafe(F.col(two)), "left_semi").select(F.struct(*docs.columns).alias("doc_id"), F.col(text_col).alias("text"), key.alias("own_id"))
     prints = prints_of(rows, "doc_id", "text").select(F.col("doc_id").alias("whole"), F.col("fp").alias("own_fp"))
     comps = found.select("fp", "root", "component_id").distinct()
     own_id = F.col("whole")[id_col]
