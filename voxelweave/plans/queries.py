@@ -195,25 +195,41 @@ def quat_grid_count(spark, sf):
 
 
 _V4 = ", ".join(f"({k}, {', '.join(map(o._number, map(float, v)))})" for k, v in enumerate(rotations.vertices()))
-_DOT = "x.a * y.a + x.b * y.b + x.c * y.c + x.d * y.d > 0.8"
-_SUM = lambda *w: ", ".join(" + ".join(f"{k} * {t}.{c}" for k, t in zip(w, "xyz")) + f" AS {c}" for c in "abcd")
 
 
-@query("quat_grid_weights", f"""WITH v AS (SELECT * FROM (VALUES {_V4}) t(i, a, b, c, d)), near AS (SELECT x.i AS i, y.i AS j FROM v x JOIN v y ON x.i <> y.i AND {_DOT}),
+def _grid_sql(n: int, places: int) -> str:
+    """The grid of ``n`` subdivisions from the vertices of the 600-cell: points of vertices, edges, faces and cells, and their weights."""
+    def point(*terms: str) -> str:
+        return ", ".join("(" + " + ".join(f"{w} * {t}.{c}" for w, t in zip(terms, "xyzu")) + f") / {n} AS {c}" for c in "abcd")
+
+    at = "JOIN v x ON x.i = m.i JOIN v y ON y.i = m.j"
+    return f"""WITH v AS MATERIALIZED (SELECT * FROM (VALUES {_V4}) t(i, a, b, c, d)),
+near AS MATERIALIZED (SELECT x.i AS i, y.i AS j FROM v x JOIN v y ON x.i < y.i AND x.a * y.a + x.b * y.b + x.c * y.c + x.d * y.d > 0.8),
+tri AS MATERIALIZED (SELECT m.i, m.j, e.j AS k FROM near m JOIN near e ON e.i = m.j JOIN near c ON c.i = m.i AND c.j = e.j),
+tet AS (SELECT m.i, m.j, m.k, e.j AS l FROM tri m JOIN near e ON e.i = m.k JOIN near c ON c.i = m.i AND c.j = e.j JOIN near d ON d.i = m.j AND d.j = e.j),
+s AS (SELECT CAST(k AS DOUBLE) AS n FROM range(1, {n}) t(k)),
 pts AS (SELECT a, b, c, d, 5 / 6 AS share FROM v
-  UNION ALL SELECT {_SUM('(2 / 3)', '(1 / 3)')}, 35 / 36 FROM near JOIN v x ON x.i = near.i JOIN v y ON y.i = near.j
-  UNION ALL SELECT {_SUM('(1 / 3)', '(1 / 3)', '(1 / 3)')}, 1 FROM near m JOIN near n ON m.j = n.i AND m.i < m.j AND n.i < n.j JOIN near e ON e.i = m.i AND e.j = n.j JOIN v x ON x.i = m.i JOIN v y ON y.i = m.j JOIN v z ON z.i = n.j),
+  UNION ALL SELECT {point('p.n', f'({n} - p.n)')}, 35 / 36 FROM near m {at}, s p
+  UNION ALL SELECT {point('p.n', 'q.n', f'({n} - p.n - q.n)')}, 1 FROM tri m {at} JOIN v z ON z.i = m.k, s p, s q WHERE p.n + q.n < {n}
+  UNION ALL SELECT {point('p.n', 'q.n', 'r.n', f'({n} - p.n - q.n - r.n)')}, 1 FROM tet m {at} JOIN v z ON z.i = m.k JOIN v u ON u.i = m.l, s p, s q, s r WHERE p.n + q.n + r.n < {n}),
 sized AS (SELECT *, a * a + b * b + c * c + d * d AS s FROM pts WHERE CASE WHEN abs(a) > 1e-9 THEN a WHEN abs(b) > 1e-9 THEN b WHEN abs(c) > 1e-9 THEN c ELSE d END > 0)
-SELECT {', '.join(o.r6(f'{c} / sqrt(s)', f'q{k}') for k, c in enumerate('abcd'))}, round(share / (s * s) / sum(share / (s * s)) OVER (), 9) AS weight FROM sized""")
+SELECT {', '.join(o.r6(f'{c} / sqrt(s)', f'q{k}') for k, c in enumerate('abcd'))}, round(share / (s * s) / sum(share / (s * s)) OVER (), {places}) AS weight FROM sized"""
+
+
+def _grid(spark, n: int, places: int) -> DataFrame:
+    return rounded(rotations.rotation_grid(spark, n).drop("r"), "q0", "q1", "q2", "q3").withColumn("weight", F.round("weight", places))
+
+
+@query("quat_grid_weights", _grid_sql(3, 9))
 def quat_grid_weights(spark, sf):
     """Every rotation of the grid of 3 subdivisions and its weight."""
-    return rounded(rotations.rotation_grid(spark, 3).drop("r"), "q0", "q1", "q2", "q3").withColumn("weight", F.round("weight", 9))
+    return _grid(spark, 3, 9)
 
 
-@query("quat_grid_20")
+@query("quat_grid_20", _grid_sql(20, 10))
 def quat_grid_20(spark, sf):
     """The grid of 20 subdivisions, 400,200 rotations."""
-    return rotations.rotation_grid(spark, 20)
+    return _grid(spark, 20, 10)
 
 
 @query("quat_ico_reduce", "SELECT CAST(n AS INTEGER) AS n, CAST(10 * (5 * n * n * n + n) / 60 AS BIGINT) AS n_rot, CAST(1.0 AS DOUBLE) AS weight FROM range(5, 7) t(n)")
