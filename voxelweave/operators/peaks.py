@@ -81,8 +81,8 @@ def integrate_spline(hkls: DataFrame, voxels: DataFrame, grid: Grid, max_voxels:
     if grid.n ** 3 > max_voxels:
         raise ValueError(f"a grid of {grid.n} a side is over {max_voxels} voxels")
     dense = np.zeros(grid.n ** 3)
-    for r in voxels.select("vox", "w").toLocalIterator():
-        dense[r["vox"]] = r["w"]
+    found = voxels.select("vox", "w").toArrow()
+    dense[found.column("vox").to_numpy()] = found.column("w").to_numpy()
     shared = hkls.sparkSession.sparkContext.broadcast(spline_coefficients(dense.reshape((grid.n,) * 3)))
     corner, delta = grid.corner, grid.delta
 

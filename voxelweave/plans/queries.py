@@ -822,7 +822,23 @@ def integrate_linear(spark, sf):
     return rounded(peaks.integrate_linear(_hkls(spark), f.voxel(spark, sf), GRID), "i")
 
 
-@query("integrate_spline")
+def _spline_sql() -> str:
+    """Coefficients by the inverse of the matrix that gives a line's values from them, axis by axis, then 64 weighted ones for each index."""
+    basis = np.diag(np.full(N, 4 / 6)) + np.diag(np.full(N - 1, 1 / 6), 1) + np.diag(np.full(N - 1, 1 / 6), -1)
+    basis[0, 1] = basis[-1, -2] = 2 / 6
+    inverse = ", ".join(f"({i}, {j}, {v!r}e0)" if "e" not in repr(v) else f"({i}, {j}, {v!r})" for i, row in enumerate(np.linalg.inv(basis).tolist()) for j, v in enumerate(row))
+    weight = "CASE o WHEN 0 THEN (1 - d) * (1 - d) * (1 - d) / 6 WHEN 1 THEN (3 * d * d * d - 6 * d * d + 4) / 6 WHEN 2 THEN (3 * (1 - d) * (1 - d) * (1 - d) - 6 * (1 - d) * (1 - d) + 4) / 6 ELSE d * d * d / 6 END"
+    mirrored = f"greatest(0, least({N - 1}, CASE WHEN abs(b + o - 1) > {N - 1} THEN {2 * (N - 1)} - abs(b + o - 1) ELSE abs(b + o - 1) END))"
+    place = lambda q: f"({q} - ({C})) / {D}"
+    axes = ", ".join(f"ax{k} AS (SELECT h, k, l, CAST({mirrored} AS INTEGER) AS i{k}, {weight} AS w{k} FROM (SELECT h, k, l, floor({place(q)}) AS b, {place(q)} - floor({place(q)}) AS d FROM inner_hkl), range(0, 4) t(o))" for k, q in enumerate(g.QS))
+    return f"""SELECT h, k, l, {o.r6('coalesce(i, 0)', 'i')} FROM hklq LEFT JOIN (WITH inv AS MATERIALIZED (SELECT * FROM (VALUES {inverse}) t(i, j, v)),
+dense AS (SELECT vox // {N * N} AS x, vox // {N} % {N} AS y, vox % {N} AS z, w FROM voxels), c0 AS MATERIALIZED (SELECT i AS x, y, z, sum(v * w) AS w FROM dense JOIN inv ON j = x GROUP BY i, y, z),
+c1 AS MATERIALIZED (SELECT x, i AS y, z, sum(v * w) AS w FROM c0 JOIN inv ON j = y GROUP BY x, i, z), c2 AS MATERIALIZED (SELECT x, y, i AS z, sum(v * w) AS w FROM c1 JOIN inv ON j = z GROUP BY x, y, i),
+inner_hkl AS MATERIALIZED (SELECT * FROM hklq WHERE {' AND '.join(f'{place(q)} BETWEEN 0 AND {N - 1}' for q in g.QS)}), {axes}
+SELECT h, k, l, sum(w * w0 * w1 * w2) AS i FROM ax0 JOIN ax1 USING (h, k, l) JOIN ax2 USING (h, k, l) JOIN c2 ON x = i0 AND y = i1 AND z = i2 GROUP BY h, k, l) s USING (h, k, l)"""
+
+
+@query("integrate_spline", _spline_sql())
 def integrate_spline(spark, sf):
     return rounded(peaks.integrate_spline(_hkls(spark), f.voxel(spark, sf), GRID), "i")
 
