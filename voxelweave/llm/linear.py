@@ -1,7 +1,7 @@
 """Linear text classifiers: bounded labelled samples, hashed sparse features, calibrated scores.
 
 Only the fit sees a sample: at most ``max_rows`` labelled rows, half of each class at most, those whose id has a low hash,
-and at most ``max_features`` features of them in the order of that hash. Features of the sample are worked out on the executors; the driver gets
+and at most ``max_features`` features of them in the order of that hash (a text that would pass it, and those after it, are not fitted). Both bounds are parameters of the operators. Features of the sample are worked out on the executors; the driver gets
 numbers, no texts. Scoring covers every row.
 """
 
@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import filter_texts, map_texts, texts_of
+from voxelweave.llm.common import delete_path, filter_texts, map_texts, texts_of, written
 
 #: (indices, values) of a text, indices distinct.
 Features = tuple[np.ndarray, np.ndarray]
@@ -35,7 +36,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
                     id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Sample:
     """Features and labels of a bounded sample of the rows of ``labels`` for which ``learn`` (on column doc_id) holds.
 
-    Rows with a null id or a label other than 0 and 1 are left out, and so are ids without a document; repeated labels count once.
+    Rows with a null id or a label other than 0 and 1 are left out, and so are ids without a document; repeated labels count once. Of the rows of one
+    id, the one whose text has the least hash is taken, whatever their order and number.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(learn).distinct()
     order, most = F.xxhash64("doc_id"), max_rows // 2
@@ -55,25 +57,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     wanted = src.join(F.broadcast(ids), "doc_id", "left_semi")  # of max_rows ids at most
 
     def kernel(chunk: pa.RecordBatch) -> dict:
-        out = {"doc_id": chunk.column("doc_id"), "i": [], "v": [], "ci": [], "cv": []}
+        out = {"doc_id": chunk.column("doc_id"), "i": [], "v": [], "ci": [], "cv": [], "least": []}
         for text in chunk.column("text").to_pylist():
             other = changed(text) if changed else None
             for k, x in (("", features(text)), ("c", features(other) if other is not None else (None, None))):
                 out[k + "i"].append(None if x[0] is None else x[0].astype("<i4").tobytes())
                 out[k + "v"].append(None if x[1] is None else x[1].astype("<f4").tobytes())
+            out["least"].append(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         return {k: pa.array(v, pa.binary()) if isinstance(v, list) else v for k, v in out.items()}
 
     id_type = src.schema["doc_id"].dataType.simpleString()
     found: dict = {}
     total = 0
-    rows = map_texts(wanted, kernel, f"doc_id {id_type}, i binary, v binary, ci binary, cv binary").withColumn("turn", order).orderBy("turn", "doc_id")
-    for r in rows.limit(2 * max_rows).toLocalIterator():
+    rows = map_texts(wanted, kernel, f"doc_id {id_type}, i binary, v binary, ci binary, cv binary, least binary")
+    rows = rows.groupBy("doc_id").agg(*(F.min_by(c, "least").alias(c) for c in ("i", "v", "ci", "cv")))
+    rows, path = written(rows.withColumn("turn", order), "labelled-features")  # of max_rows ids, worked out once
+    for r in rows.orderBy("turn", "doc_id").toLocalIterator():
         x = np.frombuffer(r["i"], "<i4"), np.frombuffer(r["v"], "<f4")
         c = None if r["ci"] is None else (np.frombuffer(r["ci"], "<i4"), np.frombuffer(r["cv"], "<f4"))
         total += len(x[0]) + (len(c[0]) if c else 0)
         if total > max_features:
             break
-        found.setdefault(r["doc_id"], (x, c))
+        found[r["doc_id"]] = x, c
+    delete_path(docs.sparkSession, path)
     picked = [(d, y) for d, y in picked if d in found]
     # one class after the other would calibrate badly: in the order of the hash, which is that of ``found``
     place = {d: k for k, d in enumerate(found)}

@@ -1,6 +1,6 @@
 """Quality: naive Bayes support vectors (NB-SVM).
 
-Indicators of n-grams (one to three in a row) of word shapes, and of words, are scaled by the log ratio of their counts in the two classes. A linear
+Indicators of n-grams of words (one and two in a row) and of word shapes (one to three) are scaled by the log ratio of their counts in the two classes. A linear
 model with hinge loss is fitted to them by dual coordinate descent. A word's shape keeps its kinds of characters in order (a lower-case run, an
 upper-case run, digits, every other character), and a word that repeats the one before it has the shape "=". The margin is
 calibrated on rows kept out of the fit.
@@ -8,8 +8,8 @@ calibrated on rows kept out of the fit.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -19,14 +19,11 @@ from voxelweave.llm import linear
 
 BUCKETS = 1 << 18
 EPOCHS, COST, SMOOTH = 30, 1.0, 1.0
-
-_LOWER = re.compile(r"[^\W\d_]+")
+REMEMBERED = 64
 
 
 def shape(word: str) -> bytes:
-    """E.g. Aa, a., A,!!, 0 and |; long words by their first and last 12 characters."""
-    if len(word) > 24:
-        word = word[:12] + word[-12:]
+    """E.g. Aa, a., A,!!, 0 and |."""
     out = []
     for c in word:
         k = "a" if c.islower() else "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
@@ -35,10 +32,14 @@ def shape(word: str) -> bytes:
     return "".join(out).encode("utf-8", "replace")
 
 
-@lru_cache(200_000)
 def _word(word: str) -> tuple[bytes, int]:
-    """A word's shape and bucket."""
-    return shape(word), crc32(word[:48].lower().encode("utf-8", "replace")) & (BUCKETS - 1)
+    """A word's shape (its digest, if it is long) and hash."""
+    s = shape(word)
+    return s if len(s) <= REMEMBERED else b"#" + blake2b(s, digest_size=16).digest(), crc32(word.lower().encode("utf-8", "replace"))
+
+
+#: Of words of at most REMEMBERED characters, so that what is remembered is bounded; longer ones are whole too, and worked out each time.
+_short = lru_cache(200_000)(_word)
 
 
 @lru_cache(200_000)
@@ -51,13 +52,16 @@ def _shapes(two: bytes, one: bytes, s: bytes) -> tuple[int, int, int]:
 def features(text: str) -> linear.Features:
     """Indicators, as a vector of unit length."""
     found: set[int] = set()
-    before, one, two = None, b"", b""
+    before, last, one, two, mask = None, 0, b"", b"", BUCKETS - 1
     for word in text.split():
         if word == before:
             s = b"="
         else:
-            s, bucket = _word(word)
-            found.add(bucket)
+            s, h = _short(word) if len(word) <= REMEMBERED else _word(word)
+            found.add(h & mask)
+            # two words in a row: both hashes, mixed by odd factors
+            found.add((last * 0x9E3779B1 + h * 0x85EBCA6B + 1 >> 7) & mask)
+            last = h
         found.update(_shapes(two, one, s))
         before, two, one = word, one, s
     at = np.fromiter(found, np.int32, len(found))
@@ -113,19 +117,23 @@ def fit(sample: linear.Sample, epochs: int = EPOCHS) -> linear.Linear:
     return linear.Linear(w, a, a * b + c)
 
 
-def quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = linear.MAX_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = linear.MAX_ROWS, max_features: int = linear.MAX_FEATURES) -> DataFrame:
     """(doc_id, score) for every row of ``docs``; the score (0 to 1, higher: better) uses the text only.
 
-    The fit takes at most ``max_rows`` labelled rows for which ``learn`` holds (see linear.py). Null texts count as empty and are scored too;
+    The fit takes at most ``max_rows`` labelled rows for which ``learn`` holds, and ``max_features`` features of them (see linear.py). Null texts count as empty and are scored too;
     null and repeated ids stay as they are; without usable labels every score is 0.5; other columns are ignored.
     """
-    sample = linear.labelled_sample(docs, labels, label, learn, features, None, id_col, text_col, max_rows)
+    sample = linear.labelled_sample(docs, labels, label, learn, features, None, id_col, text_col, max_rows, max_features)
     return linear.scored(docs, fit(sample), features, id_col, text_col)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = linear.MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; fitted as in ``quality``. Without usable labels nothing is rejected."""
-    sample = linear.labelled_sample(docs, labels, label, learn, features, None, id_col, text_col, max_rows)
+def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = linear.MAX_ROWS,
+              max_features: int = linear.MAX_FEATURES) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; fitted as in ``quality``. Without usable labels nothing is rejected.
+
+    Null texts are scored as empty ones and stay null if they are kept; null ids are scored like others; repeated rows are kept or go together; an empty table stays empty.
+    """
+    sample = linear.labelled_sample(docs, labels, label, learn, features, None, id_col, text_col, max_rows, max_features)
     if not len(sample.labels):
         return docs
     return linear.kept(docs, fit(sample), features, threshold, text_col)
