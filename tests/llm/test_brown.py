@@ -1,6 +1,6 @@
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -25,48 +25,95 @@ def test_exchange_gains_what_it_says_and_ends_at_a_local_maximum():
     kind = rng.integers(0, 3, 40)
     b = rng.poisson(1 + 20.0 * ((kind[:, None] + 1) % 3 == kind[None, :])).astype(float)
     classes = brown.exchange_classes(b, 5)
-    top = brown.likelihood(b, classes, 5)
-    assert classes[0] == 0 and (classes[1:] > 0).all()
-    for s in range(1, 40):
+    top = brown.likelihood(b, classes, 6)
+    assert classes[0] == 0 and classes[-1] == 5 and ((classes[1:-1] > 0) & (classes[1:-1] < 5)).all()
+    for s in range(1, 39):
         for k in range(1, 5):
             other = classes.copy()
             other[s] = k
-            assert brown.likelihood(b, other, 5) <= top + 1e-6
-    assert all(len(set(classes[1:][kind[1:] == k])) <= 2 for k in range(3))
+            assert brown.likelihood(b, other, 6) <= top + 1e-6
+    assert all(len(set(classes[1:-1][kind[1:-1] == k])) <= 2 for k in range(3))
 
 
-@pytest.mark.parametrize("known, head, held", [(100_000, 300, 250_000), (40, 20, 100)])
-def test_against_a_plain_version(spark, monkeypatch, known, head, held):
+def test_gains_are_those_of_the_likelihood_to_first_order():
+    """A rare word moved from a class of its own into each of the others."""
+    rng = np.random.default_rng(2)
+    g = rng.integers(1000, 90_000, (6, 6)).astype(float)
+    before, after = np.array([3.0, 0, 1, 0, 2, 0]), np.array([0, 4.0, 0, 1, 0, 1])
+    found = brown.gains(g, before[None], after[None])[0]
+
+    def likelihood(k):
+        whole = g.copy()
+        whole[k] += before
+        whole[:, k] += after
+        return brown._xlogx(whole).sum() - brown._xlogx(whole.sum(axis=1)).sum() - brown._xlogx(whole.sum(axis=0)).sum()
+
+    exact = np.array([likelihood(k) for k in range(6)])
+    assert found - found.mean() == pytest.approx(exact - exact.mean(), abs=0.01) and found.argmax() == exact.argmax()
+
+
+def test_frequent_words_with_ties(spark):
+    counts = spark.range(150_000).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(7).cast("long").alias("n"))
+    assert 90_000 <= counts.filter(brown.is_frequent(counts, 100_000)).count() <= 100_000
+    more = counts.unionByName(spark.range(50).select(F.concat(F.lit("top"), "id").alias("word"), (100 + F.col("id")).alias("n"))).unionByName(spark.createDataFrame([("", 10**6)], "word string, n long"))
+    found = {r.word for r in more.filter(brown.is_frequent(more, 1000)).collect()}
+    assert {f"top{k}" for k in range(50)} < found and 850 <= len(found) <= 1000 and "" not in found
+    assert more.filter(brown.is_frequent(more, 10**6)).count() == 150_050
+    assert counts.limit(0).filter(brown.is_frequent(counts.limit(0), 10)).count() == 0
+
+
+@pytest.mark.parametrize("known, swept, held, slots", [(100_000, 2000, 250_000, 1 << 22), (40, 20, 100, 500)])
+def test_against_a_plain_version(spark, monkeypatch, known, swept, held, slots):
+    monkeypatch.setattr(brown, "SLOTS", slots)
+    monkeypatch.setattr(brown, "HELD_CELLS", held)
     monkeypatch.setattr(brown, "KNOWN_WORDS", known)
-    monkeypatch.setattr(brown, "HEAD_SYMBOLS", head)
+    monkeypatch.setattr(brown, "SWEPT", swept)
     monkeypatch.setattr(brown, "HELD", held)
+    heads, count = [], brown.symbol_bigrams
+    monkeypatch.setattr(brown, "symbol_bigrams", lambda docs, head: heads.append([w.decode() for w in head]) or count(docs, head))
     docs = pq.read_table(f"{DATA}/documents.parquet").to_pydict()
     docs = list(zip(docs["doc_id"], docs["text"]))
     got = {r.doc_id: r for r in op9_lm_scores(spark, DATA).collect()}
+    (head,) = heads
     learn = [tokens(t) for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2]
     c = Counter(w for t in learn for w in t)
     n, v = sum(c.values()), len(c)
-    # the model, from the same classes
-    order = [w for w, _ in sorted(((w, k) for w, k in c.items() if w), key=lambda x: (-x[1], x[0].encode()))][:head]
-    number = {w: k + 1 for k, w in enumerate(order)}
-
-    def symbol(w):
-        return 0 if not w else number.get(w) or len(order) + 1 + zlib.crc32(w[-2:].encode()) % brown.ENDINGS
-
-    size = len(order) + 1 + brown.ENDINGS
-    bigrams = np.zeros((size, size))
-    for t in learn:
-        for a, b in zip(["", *t], t):
-            bigrams[symbol(a), symbol(b)] += 1
-    cls = brown.exchange_classes(bigrams)
-    m = cls.max() + 1
-    of = lambda w: cls[symbol(w)]
-    pairs, first = Counter((of(a), of(b)) for t in learn for a, b in zip(["", *t], t)), Counter(of(a) for t in learn for a in ["", *t][:-1])
-    many, kinds = Counter(of(w) for t in learn for w in t), Counter(of(w) for w in c)
+    assert swept * 0.7 < len(head) <= swept and head == sorted(head, key=lambda w: (-c[w], w.encode()))
+    assert min(c[w] for w in head) * 1.1 >= max(c[w] for w in c if w and w not in head)
+    # classes: those of the head by exchange, then those of every slot of other words by what stands beside them
+    m, number = brown.CLASSES, {"": 0} | {w: k + 1 for k, w in enumerate(head)}
+    symbol = lambda w: number.get(w, len(head) + 1)
+    name = lambda w: w if w in number else zlib.crc32(w.encode()) % slots
+    pairs = Counter((a, b) for t in learn for a, b in zip(["", *t], t))
+    bigrams = np.zeros((len(head) + 2, len(head) + 2))
+    for (a, b), k in pairs.items():
+        bigrams[symbol(a), symbol(b)] += k
+    swept_classes = brown.exchange_classes(bigrams)
+    first = lambda w: swept_classes[symbol(w)]
+    grams, before, after = np.zeros((m + 1, m + 1)), defaultdict(lambda: np.zeros(m + 1)), defaultdict(lambda: np.zeros(m + 1))
+    for (a, b), k in pairs.items():
+        grams[first(a), first(b)] += k
+        before[name(a)][first(b)] += k
+        after[name(b)][first(a)] += k
+    classes = {w: int(first(w)) for w in number}
+    for s in {name(w) for w in c if w not in number}:
+        classes[s] = 1 + int(np.argmax(np.round(brown.gains(grams, before[s][None], after[s][None])[0, 1:m], 9)))
+    assert len({classes[name(w)] for w in c if w not in number}) > 2
+    # the model, of all words and tokens
+    usual = Counter(k for s, k in classes.items() if isinstance(s, int))
+    other = max(range(m), key=lambda k: (usual[k], -k))
+    of = lambda w: classes.get(name(w), other)
+    kinds, many = Counter(map(of, c)), Counter()
+    for w, k in c.items():
+        many[of(w)] += k
+    g, row = Counter(), Counter()
+    for (a, b), k in pairs.items():
+        g[of(a), of(b)] += k
+        row[of(a)] += k
 
     def p(a, b):
         mix = brown.MIX[1] * (many[b] + 1 / m) / (n + 1) + brown.MIX[2] / m
-        return brown.MIX[0] * pairs[a, b] / first[a] + mix if first[a] else mix / (brown.MIX[1] + brown.MIX[2])
+        return brown.MIX[0] * g[a, b] / row[a] + mix if row[a] else mix / (brown.MIX[1] + brown.MIX[2])
 
     for a in range(m):
         assert sum(p(a, b) for b in range(m)) == pytest.approx(1)

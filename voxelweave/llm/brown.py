@@ -2,15 +2,17 @@
 
 Tokens are lower-cased (A-Z) runs without ASCII white space, and one end after each text. All counts are taken over all training texts.
 
-Classes: the HEAD_SYMBOLS most frequent words are symbols of their own, every other word, seen or not, belongs to one of ENDINGS symbols by
-a hash of its last two characters, and the end is a symbol. Exchange clustering moves one symbol at a time to the class that gives
-the class bigrams of the training tokens the highest likelihood, until no move helps. A word's class is its symbol's.
+Classes: every training word gets its class by what stands beside it, in two steps. The SWEPT most frequent words are moved one at a time to the
+class that gives the class bigrams of the training tokens the highest likelihood, sweep by sweep, until no move helps; all other words are one symbol of a class of its own meanwhile.
+Then each other word is moved once, from that class to the one of the highest gain given how often it stands before and after words of each class; as its counts are small against
+those of a class, the gain is taken to first order (``gains``). These words are told apart by a hash of SLOTS values, so that their classes are a table of a fixed size: words of one slot
+are moved together, by what stands beside any of them. The end is alone in class 0. A word of a slot without training tokens takes the class of the most slots.
 
 Probability of a word after a word: P(class | class before) * P(word | class). Transitions mix class bigrams with class frequencies and a
 uniform share; emissions add one to each count and one more for words not seen, so all of them are positive and sum to one.
 
-At scale: word counts are summed by a shuffle. The KNOWN_WORDS most frequent words go to every worker (a fixed bound); all
-others of a text are joined with the counts by a shuffle, so the vocabulary is never in one place.
+At scale: word counts, and what stands beside each slot, are summed by shuffles, and classes of slots are worked out by the executors. The table of slots and the KNOWN_WORDS most
+frequent words with their counts go to every worker (fixed bounds); the counts of all other words of a text are joined by a shuffle, so the vocabulary is never in one place.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 
 from voxelweave.llm.common import small_batches, text_chunks, texts_of, written
 
-HEAD_SYMBOLS, ENDINGS, CLASSES, KNOWN_WORDS = 300, 96, 32, 100_000
+SWEPT, CLASSES, KNOWN_WORDS, SLOTS = 2000, 32, 100_000, 1 << 22
 #: Shares of the transition's parts: bigrams, frequencies, uniform.
 MIX = (0.9, 0.09, 0.01)
-#: Distinct words that a counting worker holds before it passes them on, and words whose symbol a worker remembers.
-HELD, REMEMBERED = 250_000, 200_000
+#: Distinct words that a counting worker holds before it passes them on, neighbours likewise, and words whose code a worker remembers.
+HELD, HELD_CELLS, REMEMBERED = 250_000, 2_000_000, 300_000
 #: The end token; no word is empty.
 END = ""
 _NOT_KNOWN = partial(is_, None)
@@ -45,27 +47,33 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def ending(word: bytes) -> int:
-    """Which of ENDINGS a word has, by its last two characters."""
-    return crc32(word.decode("utf-8", "replace")[-2:].encode()) % ENDINGS
+class Codes(dict):
+    """Of a word: its class if that is known, else ``n`` + 1 + its slot. Other words are remembered up to a bound."""
 
+    def __init__(self, known: dict[bytes, int], n: int, slots: int):
+        super().__init__(known)
+        self.known, self.first, self.slots = known, n + 1, slots
 
-class Symbols(dict):
-    """Symbols of words: 0 the end, then head words, then endings. Remembers others up to a bound."""
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED + len(self.known):
+            self.clear()
+            self.update(self.known)
+        code = self.first + crc32(word) % self.slots
+        if len(word) <= 64:
+            self[word] = code
+        return code
 
-    def __init__(self, head: list[bytes]):
-        super().__init__((w, k + 1) for k, w in enumerate(head))
-        self.head, self.first_ending, self.count = list(head), len(head) + 1, len(head) + 1 + ENDINGS
+    def of(self, texts: list[str]) -> np.ndarray:
+        """An end (0), then each text's codes and its end."""
+        row = [0]
+        for text in texts:
+            row += map(self.__getitem__, tokens_of(text))
+            row.append(0)
+        return np.array(row, np.int64)
 
-    def __reduce__(self):
-        return Symbols, (self.head,)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.update((w, k + 1) for k, w in enumerate(self.head))
-        self[word] = k = self.first_ending + ending(word)
-        return k
+def _counted(held: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
 
 
 # ---------------------------------------------------------------- counts
@@ -89,43 +97,51 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
-
-
-def symbol_bigrams(docs: DataFrame, symbols: Symbols) -> np.ndarray:
-    """Counts of symbol after symbol, the end standing before each text. Each task sends its non-zero cells, at most ``symbols.count`` squared, as does the sum."""
-    spark, size = docs.sparkSession, symbols.count
+def symbol_bigrams(docs: DataFrame, head: list[bytes]) -> np.ndarray:
+    """Counts of symbol after symbol: 0 the end (also before each text), then ``head``, then all other words as one. Each task sends its non-zero cells, at most the number of symbols squared, as does the sum."""
+    spark, size = docs.sparkSession, len(head) + 2
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(symbols)
+    shared = spark.sparkContext.broadcast({w: k + 1 for k, w in enumerate(head)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cells = Symbols(shared.value.head), np.zeros(size * size, np.int64)
+        get, cells, other = shared.value.get, np.zeros(size * size, np.int64), size - 1
         for chunk in text_chunks(batches):
-            row = np.fromiter(_symbols_of(chunk, own), np.int64)
-            cells += np.bincount(row[:-1] * size + row[1:], minlength=size * size)
+            row = [0]
+            for text in chunk.column("text").to_pylist():
+                row += [get(w, other) for w in tokens_of(text)]
+                row.append(0)
+            row = np.array(row, np.int64)
+            at, n = np.unique(row[:-1] * size + row[1:], return_counts=True)
+            cells[at] += n
         at = np.flatnonzero(cells)
         for k in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_pydict({"cell": pa.array(at[k:k + 50_000], pa.int32()), "n": pa.array(cells[at[k:k + 50_000]], pa.int64())})
 
+    found = docs.select("doc_id", "text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
-    for r in docs.select("doc_id", "text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["cell"]] = r["n"]
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(size, size)
 
 
-def _symbols_of(chunk: pa.RecordBatch, symbols: Symbols) -> Iterator[int]:
-    """The texts of a slice one after another: an end, then each text's symbols and its end."""
-    yield 0
-    for text in chunk.column("text").to_pylist():
-        yield from map(symbols.__getitem__, tokens_of(text))
-        yield 0
+# ---------------------------------------------------------------- classes
 
+@dataclass
+class Classes:
+    """Of all words: those of swept words by themselves, those of all others by slot."""
+
+    n: int
+    known: dict[bytes, int]
+    slots: np.ndarray
+
+    def codes(self) -> Codes:
+        return Codes(self.known, self.n, len(self.slots))
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes > self.n, self.slots[np.maximum(codes - self.n - 1, 0)], codes)
 
-# ---------------------------------------------------------------- classes
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    return x * np.log(x + 1e-300)  # 0 for 0; counts are 0 or 1 and more
 
 
 def likelihood(bigrams: np.ndarray, classes: np.ndarray, n: int) -> float:
@@ -141,14 +157,16 @@ def _grouped(bigrams: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
 
 
 def exchange_classes(bigrams: np.ndarray, n: int = CLASSES, sweeps: int = 30) -> np.ndarray:
-    """Classes of symbols. Symbol 0 (the end) is alone in class 0; the others, by frequency, start in turn in the classes left."""
-    count = len(bigrams)
-    n = max(2, min(n, count))
+    """Classes of symbols, below ``n``. Symbol 0 (the end) is alone in class 0 and the last symbol (all words that are none) in class ``n``; the others, by frequency, start in turn in the classes left."""
+    count, last = len(bigrams), n
     weight = bigrams.sum(axis=0) + bigrams.sum(axis=1)
-    order = 1 + np.argsort(-weight[1:], kind="stable")
+    order = 1 + np.argsort(-weight[1:-1], kind="stable")
     classes = np.zeros(count, np.int64)
-    classes[order] = 1 + np.arange(count - 1) % (n - 1)
+    classes[order] = 1 + np.arange(len(order)) % (n - 1)
+    classes[-1] = last
+    n += 1
     g = _grouped(bigrams, classes, n)
+    columns, d = np.ascontiguousarray(bigrams.T), np.arange(n)
     for _ in range(sweeps):
         moved = 0
         for s in order:
@@ -156,19 +174,19 @@ def exchange_classes(bigrams: np.ndarray, n: int = CLASSES, sweeps: int = 30) ->
                 continue
             k = classes[s]
             own = bigrams[s, s]
-            out, into = np.bincount(classes, bigrams[s], n), np.bincount(classes, bigrams[:, s], n)
+            out, into = np.bincount(classes, bigrams[s], n), np.bincount(classes, columns[s], n)
             out[k] -= own
             into[k] -= own
             g[k] -= out
             g[:, k] -= into
             g[k, k] -= own
             left, right = g.sum(axis=1) + into, g.sum(axis=0) + out  # without the symbol's own row and column, which go to one class
-            gain = (_xlogx(g + out[None, :]) - _xlogx(g)).sum(axis=1) + (_xlogx(g + into[:, None]) - _xlogx(g)).sum(axis=0)
+            now, after, before = _xlogx(g), _xlogx(g + out), _xlogx(g + into[:, None])
+            gain = (after - now).sum(axis=1) + (before - now).sum(axis=0)
             # the cell of a class with itself changes by both
-            d = np.arange(n)
-            gain += _xlogx(g[d, d] + out + into + own) - _xlogx(g[d, d] + out) - _xlogx(g[d, d] + into) + _xlogx(g[d, d])
+            gain += _xlogx(g[d, d] + out + into + own) - after[d, d] - before[d, d] + now[d, d]
             gain -= _xlogx(left + out.sum() + own) - _xlogx(left) + _xlogx(right + into.sum() + own) - _xlogx(right)
-            gain[0] = -np.inf
+            gain[[0, last]] = -np.inf
             best = int(np.argmax(gain))
             if gain[best] <= gain[k] + 1e-9 * abs(gain[k]):
                 best = k
@@ -182,69 +200,165 @@ def exchange_classes(bigrams: np.ndarray, n: int = CLASSES, sweeps: int = 30) ->
     return classes
 
 
+def gains(grams: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The gain in likelihood, to first order, of a word that joins each class: rows of words, columns of classes.
+
+    grams: class bigrams. before, after: how often the word stands before, and after, words of each class.
+    """
+    g = grams + 0.5
+    pointwise = np.log(g) - np.log(g.sum(axis=1, keepdims=True)) - np.log(g.sum(axis=0, keepdims=True))
+    return before @ pointwise.T + after @ pointwise
+
+
+def slot_classes(docs: DataFrame, known: dict[bytes, int], grams: np.ndarray, n: int) -> np.ndarray:
+    """The class of every slot, -1 for those without training tokens. ``known``: classes of the swept words, below ``n``; ``grams``: bigrams of the ``n`` classes and of the one of all other words."""
+    spark, slots, wide = docs.sparkSession, SLOTS, 2 * n + 2
+    shared = spark.sparkContext.broadcast((known, grams))
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(slot, cell, n): cell c before a word of class c, cell n + 1 + c after one; n is the class of words that have none yet."""
+        codes, held, size = Codes(shared.value[0], n, slots), [], 0
+
+        def cells() -> Iterator[pa.RecordBatch]:
+            key, count = np.unique(np.concatenate(held), return_counts=True)
+            for k in range(0, len(key), 100_000):
+                part = key[k:k + 100_000]
+                yield pa.RecordBatch.from_pydict({"slot": pa.array(part // wide, pa.int32()), "cell": pa.array(part % wide, pa.int32()), "n": pa.array(count[k:k + 100_000], pa.int64())})
+
+        for chunk in text_chunks(batches):
+            row = codes.of(chunk.column("text").to_pylist())
+            classes, new = np.minimum(row, n), np.flatnonzero(row > n)
+            slot = (row[new] - n - 1) * wide
+            held += [slot + classes[new + 1], slot + n + 1 + classes[new - 1]]
+            size += 2 * len(new)
+            if size > HELD_CELLS:
+                yield from cells()
+                held, size = [], 0
+        if size:
+            yield from cells()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by slot, the class of each. One slot at most is held from batch to batch."""
+        g, rest = shared.value[1], np.empty((0, 3), np.int64)
+        for batch in _then_none(batches):
+            if batch is not None:
+                rest = np.concatenate((rest, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("slot", "cell", "n")], 1)))
+            cut = len(rest) if batch is None else int(np.searchsorted(rest[:, 0], rest[-1, 0])) if len(rest) else 0
+            whole, rest = rest[:cut], rest[cut:]
+            if len(whole):
+                names, at = np.unique(whole[:, 0], return_inverse=True)
+                both = np.bincount(at * wide + whole[:, 1], whole[:, 2], len(names) * wide).reshape(-1, wide)
+                gain = gains(g, both[:, :n + 1], both[:, n + 1:])
+                best = 1 + np.argmax(np.round(gain[:, 1:n], 9), axis=1)  # of classes that are alike the first
+                yield pa.RecordBatch.from_pydict({"slot": pa.array(names, pa.int32()), "cls": pa.array(best, pa.int32())})
+
+    small_batches(spark)
+    cells = docs.select("doc_id", "text").mapInArrow(beside, "slot int, cell int, n long").repartition("slot").sortWithinPartitions("slot")
+    found = cells.mapInArrow(assign, "slot int, cls int").toArrow()  # SLOTS rows at most
+    out = np.full(slots, -1, np.int16)
+    out[found.column("slot").to_numpy()] = found.column("cls").to_numpy()
+    return out
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def class_bigrams(docs: DataFrame, classes: Classes) -> np.ndarray:
+    """Counts of class after class over all tokens; each task sends its sums, of the number of classes squared."""
+    spark, n = docs.sparkSession, classes.n
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, codes, cells = shared.value, shared.value.codes(), np.zeros(n * n, np.int64)
+        for chunk in text_chunks(batches):
+            row = own.of(codes.of(chunk.column("text").to_pylist()))
+            cells += np.bincount(row[:-1] * n + row[1:], minlength=n * n)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(n * n), pa.int32()), "n": pa.array(cells)})
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n * n)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(n, n)
+
+
+def class_sizes(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, tokens) of each class, of ``counts`` (word, n)."""
+    shared = counts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, words, tokens = shared.value, np.zeros(classes.n), np.zeros(classes.n)
+        get, first, slots = own.known.get, own.n + 1, len(own.slots)
+        for batch in batches:
+            names = [w.encode() for w in batch.column("word").to_pylist()]
+            code = np.fromiter((first + crc32(w) % slots if (k := get(w)) is None else k for w in names), np.int64, len(names))
+            cls = own.of(code)
+            words += np.bincount(cls, minlength=classes.n)
+            tokens += np.bincount(cls, batch.column("n").to_numpy(), classes.n)
+        yield pa.RecordBatch.from_pydict({"cls": pa.array(np.arange(classes.n), pa.int32()), "v": pa.array(words), "n": pa.array(tokens)})
+
+    found = counts.select("word", "n").mapInArrow(run, "cls int, v double, n double").groupBy("cls").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
+    out = np.zeros((2, classes.n))
+    for row, c in zip(out, ("v", "n")):
+        row[found.column("cls").to_numpy()] = found.column(c).to_numpy()
+    return out[0], out[1]
+
+
 # ---------------------------------------------------------------- model
 
 @dataclass
 class Model:
-    """known: counts of the most frequent training words (bytes). The arrays are of a fixed size."""
+    """known: counts of the most frequent training words and the end. The arrays are of a fixed size."""
 
     known: dict[bytes, int]
-    head: list[bytes]
-    classes: np.ndarray
+    classes: Classes
     transition: np.ndarray  # log10 P(class | class before)
     unseen: np.ndarray  # log10 of an emission's denominator by class
     train_tokens: int
     vocabulary: int
 
 
-def _symbol_of(word: Column, head: int, rank: Column) -> Column:
-    """As Symbols, of a column of words; ``rank`` is the word's place among the head words, null for others."""
-    last = F.crc32(F.substring(word, -2, 2).cast("binary")) % ENDINGS
-    return F.when(word == END, 0).when(rank.isNotNull(), rank).otherwise(head + 1 + last).cast("int")
-
-
-def frequent_words(counts: DataFrame) -> dict[bytes, int]:
-    """The most frequent words with their counts, by count and then word, KNOWN_WORDS at most.
+def is_frequent(counts: DataFrame, most: int) -> Column:
+    """A condition on (word, n) that holds for the most frequent words, about ``most`` of them and never more but for chance.
 
     An ordered limit would send that many rows of every partition to the driver. Instead words are counted by steps of their frequency (sixteen
-    to a doubling, so a bounded number), and only those of the upper steps that hold KNOWN_WORDS together at most are collected.
+    to a doubling, so a bounded number). The upper steps that hold ``most`` words together at most are taken whole, and of the next one those of low hash, as many as there is room for.
     """
-    words = counts.filter(F.col("word") != END).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
-    least, total = None, 0
-    for r in sorted(words.groupBy("step").agg(F.count("*").alias("v")).collect(), key=lambda r: -r["step"]):
-        total += r["v"]
-        if total > KNOWN_WORDS:
+    step, top = F.floor(F.log2("n") * 16).cast("int"), (1 << 63) - 1
+    sizes = {r["step"]: r["v"] for r in counts.filter(F.col("word") != END).groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect()}
+    least, total, cut = 1 << 30, 0, 0
+    for k in sorted(sizes, reverse=True):
+        if total + sizes[k] > most:
+            cut = int(top * 0.97 * (most - total) / sizes[k])
             break
-        least = r["step"]
-    if least is None:
-        return {}
-    found = [(r["word"].encode(), r["n"]) for r in words.filter(F.col("step") >= least).select("word", "n").collect()]
-    return dict(sorted(found, key=lambda x: (-x[1], x[0])))
+        least, total = k, total + sizes[k]
+    low = F.xxhash64("word").bitwiseAND(F.lit(top)) < F.lit(cut)
+    return (F.col("word") != END) & ((step >= least) | ((step == max((k for k in sizes if k < least), default=-1)) & low))
 
 
-def fit(train: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, n: int = CLASSES) -> tuple[Model, DataFrame]:
     """(model, counts) of the training texts (doc_id, text); counts: word, n."""
-    spark = train.sparkSession
     counts, _ = written(word_counts(train), "word-counts")
-    known = frequent_words(counts)
-    head = list(known)[:HEAD_SYMBOLS]
-    symbols = Symbols(head)
-    bigrams = symbol_bigrams(train, symbols)
-    by_symbol = exchange_classes(bigrams, classes)
-    n = int(by_symbol.max()) + 1
-    # words and tokens of each symbol
-    words, tokens = np.zeros(symbols.count), np.zeros(symbols.count)
-    ranks = spark.createDataFrame([(w.decode(), k + 1) for k, w in enumerate(head)], "word string, rank int")
-    for r in counts.join(F.broadcast(ranks), "word", "left").groupBy(_symbol_of(F.col("word"), len(head), F.col("rank")).alias("s")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect():
-        words[r["s"]], tokens[r["s"]] = r["v"], r["n"]
-    known[b""] = int(tokens[0])
-    v, c = np.bincount(by_symbol, words, n), np.bincount(by_symbol, tokens, n)
-    g = _grouped(bigrams, by_symbol, n)
+    found = counts.filter(is_frequent(counts, KNOWN_WORDS) | (F.col("word") == END)).toArrow()
+    known = dict(zip((w.encode() for w in found.column("word").to_pylist()), found.column("n").to_pylist()))
+    known.setdefault(b"", 0)
+    top = counts.filter(is_frequent(counts, SWEPT)).collect()
+    head = [r["word"].encode() for r in sorted(top, key=lambda r: (-r["n"], r["word"].encode()))]
+    bigrams = symbol_bigrams(train, head)
+    by_symbol = exchange_classes(bigrams, n)
+    swept = {b"": 0} | {w: int(by_symbol[k + 1]) for k, w in enumerate(head)}
+    slots = slot_classes(train, swept, _grouped(bigrams, by_symbol, n + 1), n)
+    usual = int(np.bincount(slots[slots >= 0], minlength=2).argmax()) if (slots >= 0).any() else 1
+    classes = Classes(n, swept, np.where(slots < 0, usual, slots).astype(np.int16))
+    v, c = class_sizes(counts, classes)
+    g = class_bigrams(train, classes)
     row = g.sum(axis=1, keepdims=True)
     frequency = (c + 1 / n) / (c.sum() + 1)
     mixed = MIX[1] * frequency[None, :] + MIX[2] / n
     p = np.where(row > 0, MIX[0] * g / np.maximum(row, 1) + mixed, mixed / (MIX[1] + MIX[2]))
-    return Model(known, head, by_symbol, np.log10(p), np.log10(c + v + 1), int(tokens.sum()), int(words.sum())), counts
+    return Model(known, classes, np.log10(p), np.log10(c + v + 1), int(c.sum()), int(v.sum())), counts
 
 
 def text_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
@@ -262,14 +376,14 @@ def text_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        symbols = Symbols(m.head)
+        codes = m.classes.codes()
         log_known = {w: float(np.log10(c + 1)) for w, c in m.known.items()}
         for chunk in text_chunks(batches):
             n_tokens, n_known, counted, classed = [], [], [], []
             words_left, times_left, ends = [], [], [0]
             for text in chunk.column("text").to_pylist():
                 words = tokens_of(text)
-                row = m.classes[np.fromiter((0, *map(symbols.__getitem__, words), 0), np.int64, len(words) + 2)]
+                row = m.classes.of(np.fromiter((0, *map(codes.__getitem__, words), 0), np.int64, len(words) + 2))
                 classed.append(float((m.transition[row[:-1], row[1:]] - m.unseen[row[1:]]).sum()))
                 logs = list(map(log_known.get, words))
                 left = Counter(compress(words, map(_NOT_KNOWN, logs)))

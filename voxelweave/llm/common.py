@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BATCH_CHARS = 2_000_000
 #: Bytes and rows of one Arrow batch between the JVM and a Python worker.
 ARROW_BYTES = "4m"
-ARROW_ROWS = "2000"
+ARROW_ROWS = "20000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
