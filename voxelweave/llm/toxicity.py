@@ -3,13 +3,14 @@
 Features are hashed words and word beginnings of 4 to 7 bytes (insults are inflected and compounded), by their damped
 share of the text's words: log(1 + DENSITY * count / (words + SHORT)). Each is scaled by how surely its presence differs
 between the classes (the standard score of its log odds ratio, from Z_LEAST on), so that chance words of few labelled texts have no say. In labelled texts that mention a group, each mention is swapped for another group's of the same
-kind; the fit adds ``penalty`` times the squared change of the margin to the loss, so that mentions by themselves
+kind (a table that the caller may give, IDENTITY_TERMS by default); the fit adds ``penalty`` times the squared change of the margin to the loss, so that mentions by themselves
 cannot move the score. The margin is calibrated on rows kept out of the fit.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 from zlib import crc32
 
@@ -25,6 +26,7 @@ EPOCHS, RATE, DECAY, PENALTY = 24, 0.03, 1e-6, 1.0
 #: SHORT keeps single words of very short texts from deciding.
 DENSITY, SHORT = 200.0, 20.0
 Z_LEAST, Z_RANGE = 2.0, 6.0
+REMEMBERED = 64
 
 # Identity terms by kind; a mention is swapped for the next of its kind.
 IDENTITY_TERMS = (
@@ -35,29 +37,42 @@ IDENTITY_TERMS = (
     ("disabled", "deaf", "blind"), ("old", "young"), ("rich", "poor"),
     ("frau", "mann"), ("frauen", "männer"), ("femme", "homme"), ("femmes", "hommes"), ("mujer", "hombre"), ("mujeres", "hombres"),
 )
-_SWAP = {t.encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITY_TERMS for i, t in enumerate(kind)}
-_MENTION = re.compile(rb"(?<![a-z0-9\x80-\xff])(?:" + b"|".join(sorted(_SWAP, key=len, reverse=True)) + rb")(?![a-z0-9\x80-\xff])")
 #: Byte by byte: letters lower-cased, digits and bytes of other characters kept, all else a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def swapped(text: str) -> str | None:
-    """The text (in lower case) with every mention of a group swapped; None without mentions."""
-    out, n = _MENTION.subn(lambda m: _SWAP[m[0]], text.encode("utf-8", "replace").lower())
-    return out.decode("utf-8", "replace") if n else None
+class Swapper:
+    """Of a text, the text (in lower case, A-Z) with every mention of a group swapped for the next one of its kind; None without mentions."""
+
+    def __init__(self, groups: Sequence[Sequence[str]] = IDENTITY_TERMS):
+        self.other = {t.lower().encode(): kind[(i + 1) % len(kind)].lower().encode() for kind in groups for i, t in enumerate(kind)}
+        terms = b"|".join(map(re.escape, sorted(self.other, key=len, reverse=True)))
+        self.mention = re.compile(rb"(?<![a-z0-9\x80-\xff])(?:" + terms + rb")(?![a-z0-9\x80-\xff])") if terms else None
+
+    def __call__(self, text: str) -> str | None:
+        if self.mention is None:
+            return None
+        out, n = self.mention.subn(lambda m: self.other[m[0]], text.encode("utf-8", "replace").lower())
+        return out.decode("utf-8", "replace") if n else None
+
+
+swapped = Swapper()
 
 
-@lru_cache(100_000)
 def _buckets(word: bytes) -> tuple[int, ...]:
     mask = BUCKETS - 1
     return (crc32(word) & mask, *(crc32(b"^" + word[:n]) & mask for n in BEGINNINGS if len(word) >= n))
 
 
+#: Of words of at most REMEMBERED bytes, so that what is remembered is bounded; longer ones are whole too, and worked out each time.
+_short = lru_cache(100_000)(_buckets)
+
+
 def features(text: str) -> linear.Features:
     counts: dict[int, int] = {}
     words = text.encode("utf-8", "replace").translate(_WORDS).split()
     for word in words:
-        for k in _buckets(word[:64]):
+        for k in _short(word) if len(word) <= REMEMBERED else _buckets(word):
             counts[k] = counts.get(k, 0) + 1
     at = np.fromiter(counts.keys(), np.int32, len(counts))
     share = np.fromiter(counts.values(), np.float64, len(counts)) / (len(words) + SHORT)
@@ -114,11 +129,13 @@ def fit(sample: linear.Sample, penalty: float = PENALTY, epochs: int = EPOCHS, s
     return linear.Linear(w * scale, a, a * b + c)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = linear.MAX_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = linear.MAX_ROWS,
+             max_features: int = linear.MAX_FEATURES, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = PENALTY) -> DataFrame:
     """(doc_id, score) for every row of ``docs``; the score (0 to 1, higher: more toxic) uses the text only.
 
-    The fit takes at most ``max_rows`` labelled rows for which ``learn`` holds (see linear.py). Null texts count as empty and are scored too;
+    The fit takes at most ``max_rows`` labelled rows for which ``learn`` holds, and ``max_features`` features of them (see linear.py). ``groups``: terms by kind, of which one is swapped for another;
+    where no labelled text mentions any, ``penalty`` has nothing to act on. Null texts count as empty and are scored too;
     null and repeated ids stay as they are; without usable labels every score is 0.5; other columns are ignored.
     """
-    sample = linear.labelled_sample(docs, labels, label, learn, features, swapped, id_col, text_col, max_rows)
-    return linear.scored(docs, fit(sample), features, id_col, text_col)
+    sample = linear.labelled_sample(docs, labels, label, learn, features, Swapper(groups), id_col, text_col, max_rows, max_features)
+    return linear.scored(docs, fit(sample, penalty), features, id_col, text_col)
