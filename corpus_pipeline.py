@@ -1,7 +1,10 @@
 """A training corpus from ``documents``: five stages, each on all that the stage before has kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the shared folder and reads it again as the next stage's
-docs. All stages but the last return the columns of ``documents``.
+docs. All stages but the last return the columns of ``documents``, and whatever further columns docs has.
+
+In every stage a null text counts as empty (and stays null where the row stays), a row with a null id is treated like any other, and an empty table stays empty. Repeated rows are
+kept or rejected alike by all stages but near_duplicates, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -19,22 +22,23 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; rows with crc32(doc_id) mod 4 = 2 are not learned from."""
+    """Documents that the quality classifier rejects go; rows with crc32(doc_id) mod 4 = 2 are not learned from. Without usable labels all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), crc32_of_id() % 4 != 2, QUALITY)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id; links are a Jaccard similarity of five-word shingles of 0.8 or more, and those of SimHash (op1)."""
+    """One document of each near-duplicate group stays, that of the smallest id; links are a Jaccard similarity of five-word shingles of 0.8 or more, and those of SimHash (op1).
+    Texts without words are one group."""
     return jaccard.deduplicated(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of which one word in SHARE at least lies in a passage of the benchmark."""
+    """Documents go of which one word in SHARE at least lies in a passage of the benchmark; those without words stay, and an empty benchmark takes none."""
     return winnow.decontaminated(docs, table(spark, sf_dir, "benchmark"), SHARE)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in it are masked, and n_chars is that of the text as it is now."""
+    """Every document stays; secrets in it are masked, and n_chars is that of the text as it is now (null for a null text)."""
     clean = secrets.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
