@@ -27,12 +27,14 @@ def test_as_the_library(leaf):
 
 @pytest.mark.parametrize("text", ["a" * 5001, "ab" * 3000, " " * 4000 + "x", "\n" * 3001, "x" * 2047 + "'" + "s" * 2050, "!" * 5000 + "'s", "ñ日" * 2000, "0" * 4097, "'" * 4099])
 def test_long_runs(text):
-    for leaf in ((64, 8), (2048, 24)):
-        assert bpe.Encoder(RANKS, P.PATTERN, *leaf).encode(text).tolist() == PLAIN.encode_ordinary(text)
+    for leaf in ((64, 8), (512, 12), (2048, 24)):
+        enc = bpe.Encoder(RANKS, P.PATTERN, *leaf)
+        ids = PLAIN.encode_ordinary(text)
+        assert enc.encode(text).tolist() == ids and enc.decode(ids) == text.encode()
 
 
 def test_long_window_merges_alike():
-    enc = bpe.Encoder(RANKS, P.PATTERN)
+    enc = bpe.Encoder(RANKS, P.PATTERN, 2048, 24)
     rng = random.Random(3)
     for _ in range(200):
         data = "".join(rng.choice(BITS) for _ in range(30)).encode()[:96]

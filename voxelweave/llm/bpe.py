@@ -12,7 +12,7 @@ tokens are stable if their bytes, encoded alone, give the same two. Where all ne
 a list are stable, no merge of the whole crosses any of their borders (the first one that did would also be the next merge
 of that pair alone), so the list is the encoding of the whole.
 
-Decoding joins the bytes of the tokens.
+Decoding maps tokens to bytes and joins neighbours up the same kind of tree, pair by pair: concatenation needs no window.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import heapq
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import accumulate, chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from voxelweave.llm.common import map_texts, small_batches, texts_of
 
 #: Characters of a text leaf, bytes of a piece leaf, and pieces that a worker remembers at once (of at most PIECE_CHARS characters).
-TEXT_LEAF, PIECE_LEAF, REMEMBERED, PIECE_CHARS = 2048, 24, 250_000, 48
+TEXT_LEAF, PIECE_LEAF, REMEMBERED, PIECE_CHARS = 512, 12, 250_000, 48
 _NO_RANK = 1 << 60
 
 
@@ -173,7 +174,11 @@ class Encoder:
         return np.fromiter(chain.from_iterable(self._encoded(text)[1]), "<u4")
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        parts = list(map(self.tokens.__getitem__, ids))
+        while len(parts) > 1:
+            odd = parts[-1:] if len(parts) % 2 else []
+            parts = [*map(add, parts[::2], parts[1::2]), *odd]
+        return parts[0] if parts else b""
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -195,7 +200,10 @@ def _shared(spark, path: str, pattern: str):
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) for every row: ids as ``encode`` gives them, and the bytes that ``decode`` gives for them, in one pass of one worker."""
+    """(doc_id, ids, decoded) for every row: ids as ``encode`` gives them, and the bytes that ``decode`` gives for them, in one pass of one worker.
+
+    A null or empty text has no ids and no bytes. Null and repeated document ids stay as they are, an empty table stays empty, other columns are ignored.
+    """
     key, content = _shared(docs.sparkSession, path, pattern)
     src = texts_of(docs, id_col, text_col)
 
