@@ -11,8 +11,7 @@ from voxelweave.llm import pfor, tokenfile
 from voxelweave.llm.op7 import END, VOCABULARY, op7_token_files
 
 PLAIN = Tokenizer.from_file(P.path(VOCABULARY))
-PLAIN.encode_special_tokens = True
-BITS = ["Don't", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", "É", "é", "H̱", "T̈", "İ", "Σ", "ΑΣ", "ß", "日本", "😀", "3.14", "'LL", "||", "<|endoftext|>", "word", "Word", " ", "ſ", "Å", "ñ"]
+BITS = ["Don't", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", "É", "é", "H̱", "T̈", "İ", "Σ", "ΑΣ", "ß", "日本", "😀", "3.14", "'LL", "||", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|end", "oftext|>", "word", "Word", " ", "ſ", "Å", "ñ"]
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])

@@ -8,7 +8,8 @@ Encoding: the normalizer and pre-tokenizer of the vocabulary never look across A
 encoded by themselves and remembered up to a bound. Words are
 lower-cased (A-Z) first, as the normalizer would; not in texts with combining marks, which it joins with letters before it lower-cases them.
 A word of Latin-1 letters, with ASCII punctuation other than an apostrophe after them or none, is one piece or two whatever stands around it, so it
-goes to the library's model at once, piece by piece; all other words take the library's whole way.
+goes to the library's model at once, piece by piece; all other words take the library's whole way. So does, as a whole, a text in which the string of a special token of the
+vocabulary stands (in letters of either case): the library makes that token of it.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelweave.llm.common import small_batches, text_chunks, texts_of, written
+from voxelweave.llm.neighbours import LEAD
 from voxelweave.llm.pfor import read_segment, write_segment
 
 #: Ids of a segment (a longer document is a segment of its own), segments of a file, and words that a worker remembers.
-SEGMENT_IDS, SEGMENTS_IN_FILE, REMEMBERED = 1 << 19, 16, 500_000
+SEGMENT_IDS, SEGMENTS_IN_FILE, REMEMBERED, WORD_BYTES = 1 << 19, 16, 500_000, 64
 
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -43,15 +45,17 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids of words. Past half of the bound, words that have not come since the half before are forgotten."""
+    """Ids of words of at most WORD_BYTES, so that what is remembered is bounded in bytes. Past half of the bound, words that have not come since the half before are forgotten."""
 
     def __init__(self, encode, most: int):
         super().__init__()
         self.encode, self.most, self.before = encode, most, {}
 
     def __missing__(self, word: bytes) -> bytes:
+        if len(word) > WORD_BYTES:
+            return self.encode(word)
         if len(self) >= self.most // 2:
-            self.before = self.copy()
+            self.before = dict(self)
             self.clear()
         found = self.before.get(word)
         if found is None:
@@ -61,16 +65,16 @@ class _Words(dict):
 
 
 class WordEncoder:
-    """Ids of texts by the ``tokenizers`` library, without special tokens; their strings in a text are ordinary text."""
+    """Ids of texts by the ``tokenizers`` library, which adds no special tokens but finds those that a text spells out."""
 
     def __init__(self, content: bytes, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(content)
-        self.tokenizer.encode_special_tokens = True
         self.words, self.pieces = _Words(self.encode_word, remembered), _Words(self.encode_piece, remembered // 4)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         steps = json.loads(content)
+        self.special = [t["content"].lower().encode() for t in steps.get("added_tokens") or []]
         #: Whether the normalizer and pre-tokenizer are those that plain words may pass by.
         self.plain = [n["type"] for n in (steps.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [
             n["type"] for n in (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
@@ -86,15 +90,18 @@ class WordEncoder:
             return np.array(self.tokenizer.encode([text], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes()
         return self.pieces[m[1].lower()] + (self.pieces[m[2]] if m[2] else b"")
 
+    def encode_text(self, text: str) -> bytes:
+        data = text.encode("utf-8", "replace")
+        low = data.lower()
+        if any(s in low for s in self.special):
+            return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        # A-Z in lower case, unless there are combining marks (U+0300 to U+036F)
+        return b"".join(map(self.words.__getitem__, (data if b"\xcc" in data or b"\xcd" in data else low).split()))
+
     def encode_all(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, ``end`` after them."""
-        get, last = self.words.__getitem__, np.array([end], "<u4").tobytes()
-        return [b"".join(map(get, _lowered(t.encode("utf-8", "replace")).split())) + last for t in texts]
-
-
-def _lowered(data: bytes) -> bytes:
-    """A-Z in lower case, unless there are combining marks (U+0300 to U+036F)."""
-    return data if b"\xcc" in data or b"\xcd" in data else data.lower()
+        last = np.array([end], "<u4").tobytes()
+        return [self.encode_text(t) + last for t in texts]
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -112,7 +119,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int, id_
     """Write the token ids of every row to files under ``path``, in ascending order of id (null ids first, rows of one id by their text).
 
     ``vocabulary`` is the file of a tokenizer of the ``tokenizers`` library; it is read by the driver and broadcast (its size does not depend
-    on the data). ``end`` follows the ids of each document. Null texts count as empty: their only id is ``end``.
+    on the data). ``end`` follows the ids of each document. Null texts count as empty: their only id is ``end``. Repeated rows each have their ids in the files, an
+    empty table makes files without segments, other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -143,7 +151,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int, id_
             yield segment()
 
     src = texts_of(docs, id_col, text_col)
-    ordered = src.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = src.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, LEAD)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     segments = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "segment binary")
     # the text writer writes the bytes of a string as they are; no decoding takes place in this cast
     segments.select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", SEGMENTS_IN_FILE).text(path)
