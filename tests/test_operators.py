@@ -236,6 +236,20 @@ def test_perturbed_rotations(spark, scene):
         assert np.allclose(m @ m.T, np.eye(3)) and np.arccos(np.clip((np.trace(m @ scene["mats"][r.r].T) - 1) / 2, -1, 1)) <= np.deg2rad(1.8)
 
 
+def test_confident_shots_have_equivalent_rotations(spark):
+    """Four rotations that differ by operations of the group; four of which the last is turned about (1, 1, 1), that leaves this vector where it was; four that take this vector to an axis of the group."""
+    ops = symmetry_matrices("P43212").astype(float)
+    own, third = random_rotations(1, 5)[0], np.array([[0.0, 1, 0], [0, 0, 1], [1, 0, 0]])
+    x, y, z = np.array([1.0, -1, 0]) / 2 ** 0.5, np.array([1.0, 1, -2]) / 6 ** 0.5, np.ones(3) / 3 ** 0.5
+    upright = np.array([x, y, z]) * np.linalg.det([x, y, z])
+    assert np.allclose(np.abs(upright @ z), [0, 0, 1]) and np.allclose(third @ z, z)
+    sets = [[ops[k] @ own for k in range(4)], [*(ops[k] @ own for k in range(3)), ops[3] @ own @ third], [ops[k] @ upright for k in range(4)]]
+    rot = spark.createDataFrame([(4 * s + k, *map(float, m.ravel())) for s, mats in enumerate(sets) for k, m in enumerate(mats)], f"r int, {M}")
+    p = spark.createDataFrame([(s, 4 * s + k, 0.25) for s in range(3) for k in range(4)] + [(3, 5, 1.0)], "shot int, r int, p double")
+    found = orient.confident(p, rot, g.symmetry_table(spark, "P43212")).collect()
+    assert sorted(map(tuple, found)) == [(0, 0, 4), (2, 8, 4), (3, 5, 1)]
+
+
 def test_rotation_grid(spark):
     for n in (1, 2, 4):
         q = rotations.quaternion_grid(n)

@@ -113,22 +113,23 @@ def rotation_counts(prob_rot: DataFrame, shots: DataFrame) -> DataFrame:
 
 
 def confident(p: DataFrame, rotations: DataFrame, symops: DataFrame, cut: float = 1e-2, tolerance: float = 1e-6) -> DataFrame:
-    """(shot, r, n_good): shots that one rotation explains (p = 1), or four of equal p that symmetry takes into one another, and the least of those rotations."""
+    """(shot, r, n_good): shots that one rotation explains (p = 1), or four of equal p that symmetry takes into one another, and the least of those rotations.
+
+    ``rotations`` holds transposes, so an operation S takes r into the first of the four if S times the row of r is that of the first."""
     close = lambda x, y: F.abs(x - y) <= 1e-8 + 1e-5 * abs(y)
     some = p.filter("p > 0").select("shot", "r", "p")
     per = some.groupBy("shot").agg(F.count_if(F.col("p") > cut).alias("n_good"), F.min(F.when(close(F.col("p"), 1.0), 1).otherwise(0)).alias("all_one"),
                                    F.min(F.when(close(F.col("p"), 0.25), 1).otherwise(0)).alias("all_quarter"), F.min("r").alias("r"))
     one = per.filter("n_good = 1 AND all_one = 1")
     four = per.filter("n_good = 4 AND all_quarter = 1")
-    axis = 3 ** -0.5
-    turned = [v.alias(n) for v, n in zip(times_vector(matrix_columns(), [F.lit(axis)] * 3), ("ux", "uy", "uz"))]
-    vectors = four.select("shot", F.col("r").alias("lead")).join(some, "shot").join(rotations, "r").select("shot", "lead", "r", *turned)
-    lead = vectors.filter("r = lead").select("shot", *(F.col(f"u{c}").alias(f"l{c}") for c in "xyz"))
-    images = vectors.filter("r <> lead").join(lead, "shot").join(F.broadcast(symops))  # a group has 192 operations at most
-    v = times_vector(matrix_columns(), [F.col(f"u{c}") for c in "xyz"])
+    # whole rotations are compared: one vector would not tell apart those that differ by a turn about it
+    turned = [x.alias(f"t{i}{j}") for x, (i, j) in zip(matrix_columns(), itertools.product(range(3), repeat=2))]
+    mats = four.select("shot", F.col("r").alias("lead")).join(some, "shot").join(rotations, "r").select("shot", "lead", "r", *turned)
+    lead = mats.filter("r = lead").select("shot", *(x.alias(f"l{i}{j}") for x, (i, j) in zip(matrix_columns("t"), itertools.product(range(3), repeat=2))))
+    images = mats.filter("r <> lead").join(lead, "shot").join(F.broadcast(symops))  # a group has 192 operations at most
     same = F.lit(True)
-    for a, c in zip(v, "xyz"):
-        same = same & (F.abs(a - F.col(f"l{c}")) <= tolerance)
+    for a, c in zip(times_matrix(matrix_columns(), matrix_columns("t")), matrix_columns("l")):
+        same = same & (F.abs(a - c) <= tolerance)
     equal = images.groupBy("shot", "r").agg(F.count_if(same).alias("n")).groupBy("shot").agg(F.min(F.when(F.col("n") == 1, 1).otherwise(0)).alias("ok")).filter("ok = 1")
     return one.select("shot", "r", "n_good").unionByName(four.join(equal, "shot", "left_semi").select("shot", "r", "n_good"))
 

@@ -673,7 +673,7 @@ def rot_stats(spark, sf):
 
 @query("confident_shots", "SELECT shot, CAST(r AS INTEGER) AS r, CAST(n_good AS BIGINT) AS n_good FROM (SELECT shot, CASE shot % 4 WHEN 0 THEN shot % 24 ELSE 0 END AS r, CASE shot % 4 WHEN 0 THEN 1 ELSE 4 END AS n_good FROM shots WHERE shot % 4 IN (0, 1))")
 def confident_shots(spark, sf):
-    """By turns: one rotation, four that symmetry takes into one another (rotations of the cube), four others, and two."""
+    """By turns: one rotation, four that symmetry takes into one another (rotations of the cube), four others (the last is a turn about (1, 1, 1), which the group lacks), and two."""
     quarter, other = [0, 1, 2, 3], [0, 24, 26, 28]
     rows = spark.createDataFrame([(1, r, 0.25) for r in quarter] + [(2, r, 0.25) for r in other] + [(3, 0, 0.5), (3, 1, 0.5)], "kind int, r int, p double")
     s = f.shot(spark, sf).select("shot")
