@@ -128,6 +128,32 @@ def test_against_a_plain_version(spark, monkeypatch, known, swept, held, slots):
     assert gain > 0
 
 
+def test_texts_are_read_twice(spark):
+    """To count words, of the learning rows, and to encode, of all; what follows reads numbers."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(k, f"one two{k % 7} three word{k}") for k in range(60)], "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    found = brown.text_scores(docs, F.col("doc_id") < 40)
+    assert len(found.collect()) == 60 and len(found.collect()) == 60
+    assert read.value == 120
+
+
+def test_codes(spark):
+    codes = brown.Codes.of_words([b"b", b"a"], [b"", b"c", b"a"], 100)
+    slot = lambda w: zlib.crc32(w) % 100
+    assert codes.ids == {b"": 0, b"b": 1, b"a": 2, b"c": 3} and codes.own_slots().tolist() == [*map(slot, (b"", b"b", b"a", b"c")), *range(100)]
+    df = spark.createDataFrame([(1, "A new  c\tNEW", True), (1, "", False), (None, "x\u00e9 b", True)], "doc_id long, text string, learn boolean")
+    rows = {(r.doc_id, r.learn): r for r in brown.encoded(df, codes).collect()}
+    new, other = 4 + slot(b"new"), 4 + slot("x\u00e9".encode())
+    assert {k: np.frombuffer(r.codes, np.int32).tolist() for k, r in rows.items()} == {(1, True): [2, new, 3, new, 0], (1, False): [0], (None, True): [other, 1, 0]}
+    assert [[tuple(x) for x in rows[k].rest] for k in ((1, True), (1, False), (None, True))] == [[("new", 2)], [], [("x\u00e9", 1)]] and len({r.row for r in rows.values()}) == 3
+
+
 def test_rows_of_every_kind(spark):
     df = spark.createDataFrame([(1, "The the\tTHE", 1.0), (1, "The the\tTHE", 1.0), (2, None, 0.0), (3, "", 0.0), (None, "new " * 30000, 0.0)], "doc_id long, text string, score double")
     got = sorted((tuple(r) for r in brown.text_scores(df, F.col("doc_id") == 1).collect()), key=str)

@@ -11,7 +11,8 @@ are moved together, by what stands beside any of them. The end is alone in class
 Probability of a word after a word: P(class | class before) * P(word | class). Transitions mix class bigrams with class frequencies and a
 uniform share; emissions add one to each count and one more for words not seen, so all of them are positive and sum to one.
 
-At scale: word counts, and what stands beside each slot, are summed by shuffles, and classes of slots are worked out by the executors. The table of slots and the KNOWN_WORDS most
+At scale: texts are split twice, to count words and to write each text down as the codes of its words (``encoded``); all that follows reads these numbers. Word counts, and what stands beside
+each slot, are summed by shuffles, the latter as packed keys dealt out by ranges of slots, and classes of slots are worked out by the executors. The table of slots and the KNOWN_WORDS most
 frequent words with their counts go to every worker (fixed bounds); the counts of all other words of a text are joined by a shuffle, so the vocabulary is never in one place.
 """
 
@@ -20,14 +21,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
-from itertools import compress
-from math import fsum
-from operator import is_
+from itertools import compress, islice, repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,44 +35,49 @@ from voxelweave.llm.common import small_batches, text_chunks, texts_of, written
 SWEPT, CLASSES, KNOWN_WORDS, SLOTS = 2000, 32, 100_000, 1 << 22
 #: Shares of the transition's parts: bigrams, frequencies, uniform.
 MIX = (0.9, 0.09, 0.01)
-#: Distinct words that a counting worker holds before it passes them on, neighbours likewise, and words whose code a worker remembers.
-HELD, HELD_CELLS, REMEMBERED = 250_000, 2_000_000, 300_000
+#: Distinct words that a counting worker holds before it passes them on, and neighbours likewise.
+HELD, HELD_CELLS = 250_000, 2_000_000
+#: Ranges of slots by which neighbours are dealt out; of one range a worker holds a table of all counts.
+RANGES = 64
 #: The end token; no word is empty.
 END = ""
-_NOT_KNOWN = partial(is_, None)
 
 
 def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-class Codes(dict):
-    """Of a word: its class if that is known, else ``n`` + 1 + its slot. Other words are remembered up to a bound."""
+@dataclass
+class Codes:
+    """Numbers of words: 0 the end, then the swept words, the other known words, and ``1 + known`` + its slot for any other word."""
+
+    ids: dict[bytes, int]
+    swept: int
+    slots: int
+
+    @classmethod
+    def of_words(cls, head: list[bytes], others: list[bytes], slots: int) -> Codes:
+        return cls({w: k for k, w in enumerate(dict.fromkeys((b"", *head, *others)))}, len(head), slots)
 
-    def __init__(self, known: dict[bytes, int], n: int, slots: int):
-        super().__init__(known)
-        self.known, self.first, self.slots = known, n + 1, slots
+    @property
+    def known(self) -> int:
+        return len(self.ids) - 1
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED + len(self.known):
-            self.clear()
-            self.update(self.known)
-        code = self.first + crc32(word) % self.slots
-        if len(word) <= 64:
-            self[word] = code
-        return code
+    def own_slots(self) -> np.ndarray:
+        """The slot of the word of every code."""
+        return np.concatenate((np.fromiter((crc32(w) % self.slots for w in self.ids), np.int32, len(self.ids)), np.arange(self.slots, dtype=np.int32)))
 
-    def of(self, texts: list[str]) -> np.ndarray:
-        """An end (0), then each text's codes and its end."""
-        row = [0]
-        for text in texts:
-            row += map(self.__getitem__, tokens_of(text))
-            row.append(0)
-        return np.array(row, np.int64)
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(code of each word, whether it is none of the known, the words that are none in order)."""
+        row = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int32, len(words))
+        new = row < 0
+        left = list(compress(words, new.tolist()))
+        row[new] = 1 + self.known + np.fromiter(map(crc32, left), np.int64, len(left)) % self.slots
+        return row, new, left
 
 
 def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+    return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.binary()).cast(pa.string()), "n": pa.array(list(held.values()), pa.int64())})
 
 
 # ---------------------------------------------------------------- counts
@@ -97,27 +101,62 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def symbol_bigrams(docs: DataFrame, head: list[bytes]) -> np.ndarray:
-    """Counts of symbol after symbol: 0 the end (also before each text), then ``head``, then all other words as one. Each task sends its non-zero cells, at most the number of symbols squared, as does the sum."""
-    spark, size = docs.sparkSession, len(head) + 2
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast({w: k + 1 for k, w in enumerate(head)})
+def encoded(docs: DataFrame, codes: Codes) -> DataFrame:
+    """``docs`` (doc_id, text, learn) as (doc_id, learn, codes, rest, row), written once: the codes of words and of the end as 32-bit integers, and how often each word that is not known occurs."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, cells, other = shared.value.get, np.zeros(size * size, np.int64), size - 1
+        own = shared.value
         for chunk in text_chunks(batches):
-            row = [0]
+            words, stops = [], []
             for text in chunk.column("text").to_pylist():
-                row += [get(w, other) for w in tokens_of(text)]
-                row.append(0)
-            row = np.array(row, np.int64)
-            at, n = np.unique(row[:-1] * size + row[1:], return_counts=True)
+                words += tokens_of(text)
+                words.append(b"")
+                stops.append(len(words))
+            row, new, left = own.of(words)
+            data, upto, start, begin, ends = row.tobytes(), np.cumsum(new)[np.array(stops) - 1].tolist(), 0, 0, [0]
+            blobs, words_left, times_left = [], [], []
+            for stop, end in zip(stops, upto):
+                blobs.append(data[4 * start:4 * stop])
+                times = Counter(left[begin:end]) if end > begin else {}
+                words_left += times.keys()
+                times_left += times.values()
+                ends.append(len(words_left))
+                start, begin = stop, end
+            pairs = pa.StructArray.from_arrays([pa.array(words_left, pa.binary()).cast(pa.string()), pa.array(times_left, pa.int64())], ["word", "times"])
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": chunk.column("doc_id"), "learn": chunk.column("learn"), "codes": pa.array(blobs, pa.binary()), "rest": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+            })
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", "text", "learn").mapInArrow(run, f"doc_id {id_type}, learn boolean, codes binary, rest array<struct<word:string,times:long>>")
+    # written once, so that the number of a row stays the same
+    return written(out.withColumn("row", F.monotonically_increasing_id()), "codes")[0]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(some rows of ``encoded``, an end and then all their codes)."""
+    for chunk in text_chunks(batches, "codes"):
+        yield chunk, np.frombuffer(b"".join((bytes(4), *chunk.column("codes").to_pylist())), np.int32)
+
+
+def symbol_bigrams(docs: DataFrame, head: list[bytes]) -> np.ndarray:
+    """Counts of symbol after symbol in ``encoded`` texts: 0 the end (also before each text), then ``head``, then all other words as one. Each task sends its non-zero cells, at most the number of symbols squared, as does the sum."""
+    size = len(head) + 2
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(size * size, np.int64)
+        for _, row in _rows(batches):
+            symbols = np.minimum(row, size - 1).astype(np.int64)
+            at, n = np.unique(symbols[:-1] * size + symbols[1:], return_counts=True)
             cells[at] += n
         at = np.flatnonzero(cells)
         for k in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_pydict({"cell": pa.array(at[k:k + 50_000], pa.int32()), "n": pa.array(cells[at[k:k + 50_000]], pa.int64())})
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("codes").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(size, size)
@@ -133,11 +172,11 @@ class Classes:
     known: dict[bytes, int]
     slots: np.ndarray
 
-    def codes(self) -> Codes:
-        return Codes(self.known, self.n, len(self.slots))
-
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes > self.n, self.slots[np.maximum(codes - self.n - 1, 0)], codes)
+    def of_codes(self, codes: Codes) -> np.ndarray:
+        """The class of the word of every code."""
+        out = self.slots[codes.own_slots()]
+        out[:1 + codes.swept] = [self.known[w] for w in islice(codes.ids, 1 + codes.swept)]
+        return out
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -210,75 +249,93 @@ def gains(grams: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarra
     return before @ pointwise.T + after @ pointwise
 
 
-def slot_classes(docs: DataFrame, known: dict[bytes, int], grams: np.ndarray, n: int) -> np.ndarray:
-    """The class of every slot, -1 for those without training tokens. ``known``: classes of the swept words, below ``n``; ``grams``: bigrams of the ``n`` classes and of the one of all other words."""
-    spark, slots, wide = docs.sparkSession, SLOTS, 2 * n + 2
-    shared = spark.sparkContext.broadcast((known, grams))
+def slot_classes(docs: DataFrame, codes: Codes, swept: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+    """The class of every slot, -1 for those without training tokens, of ``encoded`` texts. ``swept``: classes of the end and the swept words, below ``n``; ``grams``: bigrams of the ``n`` classes and of the one of all other words."""
+    spark, slots, wide = docs.sparkSession, codes.slots, 2 * n + 2
+    span = -(-slots // RANGES)  # slots of a range
+    shared = spark.sparkContext.broadcast((codes, np.append(swept, n), grams))
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(slot, cell, n): cell c before a word of class c, cell n + 1 + c after one; n is the class of words that have none yet."""
-        codes, held, size = Codes(shared.value[0], n, slots), [], 0
-
-        def cells() -> Iterator[pa.RecordBatch]:
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            for k in range(0, len(key), 100_000):
-                part = key[k:k + 100_000]
-                yield pa.RecordBatch.from_pydict({"slot": pa.array(part // wide, pa.int32()), "cell": pa.array(part % wide, pa.int32()), "n": pa.array(count[k:k + 100_000], pa.int64())})
-
-        for chunk in text_chunks(batches):
-            row = codes.of(chunk.column("text").to_pylist())
-            classes, new = np.minimum(row, n), np.flatnonzero(row > n)
-            slot = (row[new] - n - 1) * wide
+        """(part, keys): of a range of slots, a key for each word beside one of its own: slot * wide + c before a word of class c, that + n + 1 after one; n is the class of words that have none yet. Keys are sorted, and their bytes put in four rows, which packs well."""
+        own, first, _ = shared.value
+        slot_of, held, size = own.own_slots(), [], 0
+
+        def cells() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(keys, np.arange(RANGES + 1) * span * wide)
+            parts = np.flatnonzero(np.diff(cuts))
+            rows = [(keys[cuts[p]:cuts[p + 1]] - p * span * wide).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts]
+            return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "keys": pa.array(rows, pa.binary())})
+
+        for _, row in _rows(batches):
+            classes, new = first[np.minimum(row, own.swept + 1)], np.flatnonzero(row > own.swept)
+            slot = slot_of[row[new]].astype(np.int64) * wide
             held += [slot + classes[new + 1], slot + n + 1 + classes[new - 1]]
             size += 2 * len(new)
             if size > HELD_CELLS:
-                yield from cells()
+                yield cells()
                 held, size = [], 0
         if size:
-            yield from cells()
+            yield cells()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by slot, the class of each. One slot at most is held from batch to batch."""
-        g, rest = shared.value[1], np.empty((0, 3), np.int64)
-        for batch in _then_none(batches):
-            if batch is not None:
-                rest = np.concatenate((rest, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("slot", "cell", "n")], 1)))
-            cut = len(rest) if batch is None else int(np.searchsorted(rest[:, 0], rest[-1, 0])) if len(rest) else 0
-            whole, rest = rest[:cut], rest[cut:]
-            if len(whole):
-                names, at = np.unique(whole[:, 0], return_inverse=True)
-                both = np.bincount(at * wide + whole[:, 1], whole[:, 2], len(names) * wide).reshape(-1, wide)
-                gain = gains(g, both[:, :n + 1], both[:, n + 1:])
-                best = 1 + np.argmax(np.round(gain[:, 1:n], 9), axis=1)  # of classes that are alike the first
-                yield pa.RecordBatch.from_pydict({"slot": pa.array(names, pa.int32()), "cls": pa.array(best, pa.int32())})
-
-    small_batches(spark)
-    cells = docs.select("doc_id", "text").mapInArrow(beside, "slot int, cell int, n long").repartition("slot").sortWithinPartitions("slot")
-    found = cells.mapInArrow(assign, "slot int, cls int").toArrow()  # SLOTS rows at most
-    out = np.full(slots, -1, np.int16)
-    out[found.column("slot").to_numpy()] = found.column("cls").to_numpy()
-    return out
+        """Of rows sorted by part, the classes of the slots of each. The counts of one range are held, and keys up to a bound."""
+        g = shared.value[2]
+        part, held, size, counts = -1, [], 0, np.zeros(span * wide, np.int64)
+
+        def added() -> None:
+            nonlocal held, size
+            if size:
+                np.add(counts, np.bincount(np.concatenate(held), minlength=len(counts)), out=counts)
+            held, size = [], 0
+
+        def whole() -> pa.RecordBatch:
+            both, best = counts.reshape(-1, wide), np.full(span, -1, np.int16)
+            for k in range(0, span, 8192):
+                some = k + np.flatnonzero(both[k:k + 8192].any(axis=1))
+                gain = gains(g, both[some, :n + 1], both[some, n + 1:])
+                best[some] = 1 + np.argmax(np.round(gain[:, 1:n], 9), axis=1)  # of classes that are alike the first
+            counts[:] = 0
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "cls": pa.array([best.tobytes()], pa.binary())})
 
+        for batch in batches:
+            for p, keys in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist()):
+                if p != part:
+                    added()
+                    if part >= 0:
+                        yield whole()
+                    part = p
+                held.append(np.frombuffer(keys, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel())
+                size += len(held[-1])
+                if size > HELD_CELLS:
+                    added()
+        added()
+        if part >= 0:
+            yield whole()
 
-def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    small_batches(spark)
+    cells = docs.select("codes").mapInArrow(beside, "part int, keys binary").repartition(RANGES, "part").sortWithinPartitions("part")
+    found = cells.mapInArrow(assign, "part int, cls binary").toArrow()  # two bytes a slot
+    out = np.full(RANGES * span, -1, np.int16)
+    for p, cls in zip(found.column("part").to_pylist(), found.column("cls").to_pylist()):
+        out[p * span:(p + 1) * span] = np.frombuffer(cls, np.int16)
+    return out[:slots]
 
 
-def class_bigrams(docs: DataFrame, classes: Classes) -> np.ndarray:
-    """Counts of class after class over all tokens; each task sends its sums, of the number of classes squared."""
+def class_bigrams(docs: DataFrame, codes: Codes, classes: Classes) -> np.ndarray:
+    """Counts of class after class over all tokens of ``encoded`` texts; each task sends its sums, of the number of classes squared."""
     spark, n = docs.sparkSession, classes.n
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(classes)
+    shared = spark.sparkContext.broadcast(classes.of_codes(codes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, codes, cells = shared.value, shared.value.codes(), np.zeros(n * n, np.int64)
-        for chunk in text_chunks(batches):
-            row = own.of(codes.of(chunk.column("text").to_pylist()))
-            cells += np.bincount(row[:-1] * n + row[1:], minlength=n * n)
+        class_of, cells = shared.value, np.zeros(n * n, np.int64)
+        for _, row in _rows(batches):
+            at = class_of[row].astype(np.int64)
+            cells += np.bincount(at[:-1] * n + at[1:], minlength=n * n)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(n * n), pa.int32()), "n": pa.array(cells)})
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("codes").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n * n)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(n, n)
@@ -294,7 +351,7 @@ def class_sizes(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.nda
         for batch in batches:
             names = [w.encode() for w in batch.column("word").to_pylist()]
             code = np.fromiter((first + crc32(w) % slots if (k := get(w)) is None else k for w in names), np.int64, len(names))
-            cls = own.of(code)
+            cls = np.where(code < first, code, own.slots[np.maximum(code - first, 0)])
             words += np.bincount(cls, minlength=classes.n)
             tokens += np.bincount(cls, batch.column("n").to_numpy(), classes.n)
         yield pa.RecordBatch.from_pydict({"cls": pa.array(np.arange(classes.n), pa.int32()), "v": pa.array(words), "n": pa.array(tokens)})
@@ -310,10 +367,11 @@ def class_sizes(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Model:
-    """known: counts of the most frequent training words and the end. The arrays are of a fixed size."""
+    """The arrays are of a fixed size."""
 
-    known: dict[bytes, int]
-    classes: Classes
+    known: np.ndarray  # log10 of a count and one, by code of the end and of the known words; 0 for all other words
+    end: bool  # whether training texts have an end
+    classes: np.ndarray  # by code
     transition: np.ndarray  # log10 P(class | class before)
     unseen: np.ndarray  # log10 of an emission's denominator by class
     train_tokens: int
@@ -338,27 +396,31 @@ def is_frequent(counts: DataFrame, most: int) -> Column:
     return (F.col("word") != END) & ((step >= least) | ((step == max((k for k in sizes if k < least), default=-1)) & low))
 
 
-def fit(train: DataFrame, n: int = CLASSES) -> tuple[Model, DataFrame]:
-    """(model, counts) of the training texts (doc_id, text); counts: word, n."""
-    counts, _ = written(word_counts(train), "word-counts")
+def fit(src: DataFrame, n: int = CLASSES) -> tuple[Model, DataFrame, DataFrame]:
+    """(model, encoded texts, counts) of texts (doc_id, text, learn), of those that ``learn``; counts: word, n."""
+    counts, _ = written(word_counts(src.filter("learn")), "word-counts")
     found = counts.filter(is_frequent(counts, KNOWN_WORDS) | (F.col("word") == END)).toArrow()
     known = dict(zip((w.encode() for w in found.column("word").to_pylist()), found.column("n").to_pylist()))
-    known.setdefault(b"", 0)
     top = counts.filter(is_frequent(counts, SWEPT)).collect()
+    known |= {r["word"].encode(): r["n"] for r in top}
     head = [r["word"].encode() for r in sorted(top, key=lambda r: (-r["n"], r["word"].encode()))]
+    codes = Codes.of_words(head, sorted(known), SLOTS)
+    texts = encoded(src, codes)
+    train = texts.filter("learn")
     bigrams = symbol_bigrams(train, head)
     by_symbol = exchange_classes(bigrams, n)
     swept = {b"": 0} | {w: int(by_symbol[k + 1]) for k, w in enumerate(head)}
-    slots = slot_classes(train, swept, _grouped(bigrams, by_symbol, n + 1), n)
+    slots = slot_classes(train, codes, by_symbol[:1 + len(head)], _grouped(bigrams, by_symbol, n + 1), n)
     usual = int(np.bincount(slots[slots >= 0], minlength=2).argmax()) if (slots >= 0).any() else 1
     classes = Classes(n, swept, np.where(slots < 0, usual, slots).astype(np.int16))
     v, c = class_sizes(counts, classes)
-    g = class_bigrams(train, classes)
+    g = class_bigrams(train, codes, classes)
     row = g.sum(axis=1, keepdims=True)
     frequency = (c + 1 / n) / (c.sum() + 1)
     mixed = MIX[1] * frequency[None, :] + MIX[2] / n
     p = np.where(row > 0, MIX[0] * g / np.maximum(row, 1) + mixed, mixed / (MIX[1] + MIX[2]))
-    return Model(known, classes, np.log10(p), np.log10(c + v + 1), int(c.sum()), int(v.sum())), counts
+    logs = np.log10([known.get(w, 0) + 1 for w in codes.ids] + [1])
+    return Model(logs, known.get(b"", 0) > 0, classes.of_codes(codes), np.log10(p), np.log10(c + v + 1), int(c.sum()), int(v.sum())), texts, counts
 
 
 def text_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
@@ -370,41 +432,27 @@ def text_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     src = texts_of(docs, id_col, text_col)
-    model, counts = fit(src.filter(learn), classes)
+    model, texts, counts = fit(src.withColumn("learn", F.coalesce(learn, F.lit(False))), classes)
     shared = spark.sparkContext.broadcast(model)
     id_type = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        codes = m.classes.codes()
-        log_known = {w: float(np.log10(c + 1)) for w, c in m.known.items()}
-        for chunk in text_chunks(batches):
-            n_tokens, n_known, counted, classed = [], [], [], []
-            words_left, times_left, ends = [], [], [0]
-            for text in chunk.column("text").to_pylist():
-                words = tokens_of(text)
-                row = m.classes.of(np.fromiter((0, *map(codes.__getitem__, words), 0), np.int64, len(words) + 2))
-                classed.append(float((m.transition[row[:-1], row[1:]] - m.unseen[row[1:]]).sum()))
-                logs = list(map(log_known.get, words))
-                left = Counter(compress(words, map(_NOT_KNOWN, logs)))
-                words_left += left.keys()
-                times_left += left.values()
-                ends.append(len(words_left))
-                counted.append(fsum(filter(None, logs)) + log_known[b""])
-                n_known.append(len(words) - sum(left.values()) + (m.known[b""] > 0))
-                n_tokens.append(len(words) + 1)
-            pairs = pa.StructArray.from_arrays([pa.array(words_left, pa.binary()).cast(pa.string()), pa.array(times_left, pa.int64())], ["word", "times"])
+        other = len(m.known) - 1
+        for chunk, row in _rows(batches):
+            lengths = pc.binary_length(chunk.column("codes")).to_numpy().astype(np.int64) // 4
+            starts, after, cls = np.cumsum(lengths) - lengths, np.minimum(row[1:], other), m.classes[row]  # every text has a token
+            known = np.add.reduceat((after < other).astype(np.int64), starts) - (not m.end)
+            classed = m.transition[cls[:-1], cls[1:]] - m.unseen[cls[1:]]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": chunk.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                "counted": pa.array(counted, pa.float64()), "classed": pa.array(classed, pa.float64()), "rest": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                "row": chunk.column("row"), "doc_id": chunk.column("doc_id"), "n_tokens": pa.array(lengths), "n_known": pa.array(known),
+                "counted": pa.array(np.add.reduceat(m.known[after], starts)), "classed": pa.array(np.add.reduceat(classed, starts)),
             })
 
-    own = src.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_known long, counted double, classed double, rest array<struct<word:string,times:long>>")
-    # written once, so that the number of a row stays the same
-    own, _ = written(own.withColumn("row", F.monotonically_increasing_id()), "own-scores")
-    rest = own.select("row", F.inline("rest")).join(counts, "word")
+    own = texts.select("row", "doc_id", "codes").mapInArrow(run, f"row long, doc_id {id_type}, n_tokens long, n_known long, counted double, classed double")
+    rest = texts.select("row", F.inline("rest")).join(counts, "word")
     found = rest.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("rest_counted"), F.sum("times").alias("rest_known"))
-    both = own.drop("rest").join(found, "row", "left")
+    both = own.join(found, "row", "left")
     total = F.col("counted") + F.coalesce("rest_counted", F.lit(0.0))
     return both.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
